@@ -5,12 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing, quality_rules, warc
 from .common import table
 from .ngram_join import ngram_jaccard_groups
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": warc.ORACLE,
+    "op8_quality_rules": quality_rules.oracle(),
+    "op10_mixing": mixing.ORACLE,
+}
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of texts whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return ngram_jaccard_groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives every page, reads the archive back and returns the records' fields."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every text."""
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_stop_words"
+    )
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mixture takes of every document."""
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
