@@ -36,7 +36,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", low=1.5, high=15.0),
     Rule("symbols", "n_symbols", "n_words", high=0.10),
     Rule("stop_words", "n_stop_words", "n_words", low=0.02),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.30),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.50),
     Rule("repeated_words", "n_repeat_words", "n_words", high=0.50),
 )
 

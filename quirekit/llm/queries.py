@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, warc
-from .common import table
+from . import language_id, mixing, quality_fm, quality_rules, warc
+from .common import held_out, table
 from .ngram_join import ngram_jaccard_groups
 
 ORACLE_SQL: dict[str, str] = {
@@ -36,3 +36,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mixture takes of every document."""
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a factorisation machine learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    found = quality_fm.scored(docs, quality_fm.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= quality_fm.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by naive Bayes learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identified(docs, language_id.train(docs)).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
