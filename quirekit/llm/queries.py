@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, quality_fm, quality_rules, warc
+from . import language_id, license_scan, mixing, quality_fm, quality_rules, warc
 from .common import held_out, table
 from .ngram_join import ngram_jaccard_groups
 
@@ -49,3 +49,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by naive Bayes learnt outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     return language_id.identified(docs, language_id.train(docs)).select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and detections of every whole text."""
+    return license_scan.scanned(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
