@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, mixing, quality_fm, quality_rules, warc
+from . import bpe, fingerprint, language_id, license_scan, mixing, quality_fm, quality_rules, warc
 from .common import held_out, table
 from .ngram_join import ngram_jaccard_groups
 
@@ -54,3 +55,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and detections of every whole text."""
     return license_scan.scanned(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, its edited text, and their likeness."""
+    return fingerprint.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every text's ids and of the bytes decoded from them."""
+    found = bpe.encoded(table(spark, sf_dir, "documents"), bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, keep_ids=False)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
