@@ -18,6 +18,7 @@ BATCH_ROWS = 500
 BROADCAST_ROWS = 200_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -52,11 +53,13 @@ def held_out(doc_id, folds: int, fold: int):
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijective finalizer over uint64 arrays (splitmix64)."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _M1
-        x = (x ^ (x >> np.uint64(27))) * _M2
-        return x ^ (x >> np.uint64(31))
+    """A bijective finalizer over uint64 arrays (splitmix64); products wrap around."""
+    x = x ^ (x >> _S30)
+    x *= _M1
+    x ^= x >> _S27
+    x *= _M2
+    x ^= x >> _S31
+    return x
 
 
 def text_rows(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple]:

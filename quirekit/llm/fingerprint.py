@@ -29,6 +29,7 @@ TASK_BYTES = 16 << 20
 
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 _CHECK = np.uint64(0xD6E8FEB86659FD93)
+_LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
 class _Tokens(dict):
@@ -68,16 +69,21 @@ class Sketch:
 
     @staticmethod
     def places(keys: np.ndarray, cells: int, seed: int) -> np.ndarray:
-        part = np.uint64(cells // 3)
-        return np.concatenate([(mix64(keys ^ mix64(np.array([3 * seed + i + 1], np.uint64))) % part).astype(np.int64) + i * (cells // 3) for i in range(3)])
+        """A row for each part, with the cell of every key."""
+        part = cells // 3
+        h = mix64(keys ^ np.uint64((seed + 1) * 0xA0761D6478BD642F & (2**64 - 1)))
+        a, b = h & _LOW, h >> _HALF
+        at = np.stack([a, b, (a + b * _SALT) & _LOW])
+        at *= np.uint64(part)
+        return (at >> _HALF).astype(np.int64) + np.array([[0], [part], [2 * part]])
 
     @classmethod
     def of(cls, keys: np.ndarray, cells: int = CELLS, seed: int = 0) -> Sketch:
         at = cls.places(keys, cells, seed)
         sums, checks = np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
-        np.add.at(sums, at, np.tile(keys, 3))
-        np.add.at(checks, at, np.tile(mix64(keys ^ _CHECK), 3))
-        return cls(np.bincount(at, minlength=cells), sums, checks, seed)
+        np.add.at(sums, at, keys)
+        np.add.at(checks, at, mix64(keys ^ _CHECK))
+        return cls(np.bincount(at.ravel(), minlength=cells), sums, checks, seed)
 
     def __sub__(self, other: Sketch) -> Sketch:
         return Sketch(self.counts - other.counts, self.keys - other.keys, self.checks - other.checks, self.seed)
@@ -92,20 +98,22 @@ class Sketch:
         plus, minus = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
         while True:
             one = np.flatnonzero(np.abs(counts) == 1)
+            if not len(one):
+                return None if counts.any() or sums.any() or checks.any() else (np.concatenate(plus), np.concatenate(minus))
             sign = counts[one]
             keys = np.where(sign == 1, sums[one], -sums[one])
             mark = mix64(keys ^ _CHECK)
             pure = np.where(sign == 1, checks[one], -checks[one]) == mark
             keys, at = np.unique(keys[pure], return_index=True)
             if not len(keys):
-                return None if counts.any() or sums.any() or checks.any() else (np.concatenate(plus), np.concatenate(minus))
+                return None
             sign, mark = sign[pure][at], mark[pure][at]
             plus.append(keys[sign == 1])
             minus.append(keys[sign == -1])
             places = self.places(keys, len(counts), self.seed)
-            np.subtract.at(counts, places, np.tile(sign, 3))
-            np.subtract.at(sums, places, np.tile(np.where(sign == 1, keys, -keys), 3))
-            np.subtract.at(checks, places, np.tile(np.where(sign == 1, mark, -mark), 3))
+            np.subtract.at(counts, places, sign)
+            np.subtract.at(sums, places, np.where(sign == 1, keys, -keys))
+            np.subtract.at(checks, places, np.where(sign == 1, mark, -mark))
 
 
 def difference(a: np.ndarray, b: np.ndarray, base: Sketch | None = None, tries: int = 6) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +123,8 @@ def difference(a: np.ndarray, b: np.ndarray, base: Sketch | None = None, tries:
     doesn't peel, sketches follow that hold all digests, each twice as large as
     the one before; should ``tries`` of these fail, the sets are compared.
     """
-    found = (base or Sketch.of(a) - Sketch.of(b)).peel()
+    # More differences than cells can't peel.
+    found = (base or Sketch.of(a) - Sketch.of(b)).peel() if abs(len(a) - len(b)) <= CELLS else None
     cells = 3 * (8 + (len(a) + len(b)) * 16 // 30)
     for seed in range(1, tries + 1):
         if found is not None:
