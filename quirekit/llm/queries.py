@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, language_id, license_scan, mixing, quality_fm, quality_rules, warc
+from . import bpe, fingerprint, language_id, license_scan, mixing, quality_fm, quality_rules, quotation, warc
 from .common import held_out, table
 from .ngram_join import ngram_jaccard_groups
 
@@ -66,3 +66,9 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every text's ids and of the bytes decoded from them."""
     found = bpe.encoded(table(spark, sf_dir, "documents"), bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, keep_ids=False)
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of ``conversations`` without quotes, with the message it answers."""
+    found = quotation.linked_conversations(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "role", F.sha2("own_text", 256).alias("own_sha256"), F.sha2("formatted", 256).alias("formatted_sha256"), "n_quotes", "n_linked", "parent_turn", "root_turn", "depth")
