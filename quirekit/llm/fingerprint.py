@@ -79,11 +79,11 @@ class Sketch:
 
     @classmethod
     def of(cls, keys: np.ndarray, cells: int = CELLS, seed: int = 0) -> Sketch:
-        at = cls.places(keys, cells, seed)
+        at, keys = cls.places(keys, cells, seed).ravel(), np.tile(keys, 3)
         sums, checks = np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
         np.add.at(sums, at, keys)
         np.add.at(checks, at, mix64(keys ^ _CHECK))
-        return cls(np.bincount(at.ravel(), minlength=cells), sums, checks, seed)
+        return cls(np.bincount(at, minlength=cells), sums, checks, seed)
 
     def __sub__(self, other: Sketch) -> Sketch:
         return Sketch(self.counts - other.counts, self.keys - other.keys, self.checks - other.checks, self.seed)
@@ -96,7 +96,7 @@ class Sketch:
         """Keys with count +1 and with count -1, or None where some can't be told."""
         counts, sums, checks = self.counts.copy(), self.keys.copy(), self.checks.copy()
         plus, minus = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-        while True:
+        for _ in range(len(counts) + 1):
             one = np.flatnonzero(np.abs(counts) == 1)
             if not len(one):
                 return None if counts.any() or sums.any() or checks.any() else (np.concatenate(plus), np.concatenate(minus))
@@ -110,10 +110,11 @@ class Sketch:
             sign, mark = sign[pure][at], mark[pure][at]
             plus.append(keys[sign == 1])
             minus.append(keys[sign == -1])
-            places = self.places(keys, len(counts), self.seed)
+            places, keys, sign, mark = self.places(keys, len(counts), self.seed).ravel(), np.tile(keys, 3), np.tile(sign, 3), np.tile(mark, 3)
             np.subtract.at(counts, places, sign)
             np.subtract.at(sums, places, np.where(sign == 1, keys, -keys))
             np.subtract.at(checks, places, np.where(sign == 1, mark, -mark))
+        return None
 
 
 def difference(a: np.ndarray, b: np.ndarray, base: Sketch | None = None, tries: int = 6) -> tuple[np.ndarray, np.ndarray]:
