@@ -34,9 +34,9 @@ def reconciliation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from ..functions.text import normalize_sql
 
-    lines = table(spark, sf_dir, "documents").select("source", normalize_sql(F.explode(F.split("text", "\n"))).alias("norm")).where("norm <> ''")
+    lines = table(spark, sf_dir, "documents").select("source", F.explode(F.split("text", "\n")).alias("line")).select("source", normalize_sql(F.col("line")).alias("norm")).where("norm <> ''")
     auth = (
-        table(spark, sf_dir, "benchmark").select(normalize_sql(F.explode(F.split("text", "\n"))).alias("norm")).where("norm <> ''").distinct()
+        table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("line")).select(normalize_sql(F.col("line")).alias("norm")).where("norm <> ''").distinct()
         .select("norm", F.col("norm").alias("auth"))
     )
     return (
