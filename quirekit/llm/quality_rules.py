@@ -97,7 +97,9 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 def keep_passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    return quality_rules(docs.withColumn("__row", F.struct(*docs.columns)), rules).where("kept").select("__row.*")
+    judged = quality_rules(docs.withColumn("__row", F.struct(*docs.columns)), rules).select("__row", "kept")
+    # The verdict passes a generator, below which the filter isn't pushed; there it would repeat the counts' nested arrays over and over.
+    return judged.select("__row", F.explode_outer(F.array("kept")).alias("kept")).where("kept").select("__row.*")
 
 
 def oracle() -> str:
