@@ -30,7 +30,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import reconciliation  # noqa: F401
+    from . import reconciliation, review  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
