@@ -10,6 +10,11 @@ reaches a ratio. No link between different texts is lost:
   as no more than ``P - k - 1`` are; so every linking pair shares a posting.
 * Postings that meet give a sparse graph (a star per posting, never all pairs).
   Its components are the only places where links can be.
+* A passage that many texts share merges them into one component without their
+  being alike. The texts of large components are therefore dealt again, by
+  their rarest n-grams: of ``n`` n-grams, counted over all these texts and
+  ordered from rare to frequent, linking texts share one among the first
+  ``n - ceil(ratio * n) + 1``. N-grams that one text alone has post nothing.
 * Components are cut into tiles of bounded size. In a tile, hashed parity
   bitmaps bound the overlap of a pair from above by their bit counts, and the
   pairs left are settled by intersecting sorted arrays. Pairs that links join
@@ -37,6 +42,8 @@ BAND_GROWTH = 1.3
 CHUNK_POSTINGS = 1_000_000
 #: Texts of a component's block; a tile has two blocks at most.
 BLOCK = 256
+#: N-grams of a chunk of a large component's texts.
+CHUNK_NGRAMS = 200_000
 #: Bytes per word in which the number of postings is estimated, for the number of tasks only.
 _WORD_BYTES = 6
 _CANDIDATE, _LINK, _SIZE, _NULL_ID = 0, 1, 2, 3
@@ -206,6 +213,85 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(_CANDIDATE, u, v)
 
 
+_COUNTS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_COUNTS_SQL = "bucket long, chunk long, keys binary, counts binary"
+
+
+def _count_ngrams(width: int, buckets: int):
+    """Counts of a chunk's n-grams, dealt into buckets, so that a frequent one is one entry per chunk."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        hashes = _WordHashes()
+        k, c = np.unique(np.concatenate([shingles(x, width, hashes) for x in t.column("text").to_pylist()]), return_counts=True)
+        to = (k % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        k, c, to = k[order], c[order].astype(np.int64), to[order]
+        cut = np.flatnonzero(np.diff(to)) + 1
+        rows = [(int(x[0]), key[0].as_py(), y.tobytes(), z.tobytes()) for x, y, z in zip(np.split(to, cut), np.split(k, cut), np.split(c, cut), strict=True) if len(x)]
+        return pa.Table.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows, strict=True) if rows else [()] * 4, _COUNTS, strict=True)], schema=_COUNTS)
+
+    return run
+
+
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers each chunk with the counts over all chunks of those of its n-grams that come more than once."""
+    rows = list(text_rows(batches, "bucket", "chunk", "keys", "counts"))
+    if not rows:
+        return
+    keys = [np.frombuffer(r[2], np.uint64) for r in rows]
+    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])).astype(np.int64)[inverse]
+    at = 0
+    for (bucket, chunk, _, _), k in zip(rows, keys, strict=True):
+        c = total[at : at + len(k)]
+        at += len(k)
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((bucket, chunk, k[c > 1].tobytes(), c[c > 1].tobytes()), _COUNTS, strict=True)], schema=_COUNTS)
+
+
+def rarest(s: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of a set's members, rare ones first, those of which linking sets share one; members that no other set has are left out."""
+    first = np.lexsort((s, counts))[: len(s) + (-len(s) * num) // den + 1]
+    return s[first[counts[first] > 1]]
+
+
+def _post_rarest(width: int, num: int, den: int, buckets: int):
+    def run(own: pa.Table, counted: pa.Table) -> pa.Table:
+        hashes, empty = _WordHashes(), np.empty(0, np.uint64)
+        k = np.concatenate([empty, *(np.frombuffer(x, np.uint64) for x in counted.column("keys").to_pylist())])
+        c = np.concatenate([empty.astype(np.int64), *(np.frombuffer(x, np.int64) for x in counted.column("counts").to_pylist())])
+        order = np.argsort(k)
+        k, c = np.append(k[order], np.uint64(0)), np.append(c[order], 1)  # the last entry stands for n-grams that come once
+        keys, ids = [empty], [empty.astype(np.int64)]
+        for doc, text in zip(own.column("doc_id").to_pylist(), own.column("text").to_pylist(), strict=True):
+            s = shingles(text, width, hashes)
+            at = np.searchsorted(k[:-1], s)
+            keys.append(rarest(s, np.where(k[at] == s, c[at], 1), num, den))
+            ids.append(np.full(len(keys[-1]), doc, np.int64))
+        k, d = np.concatenate(keys), np.concatenate(ids)
+        first, u, v = _stars(k, d)
+        k, d = k[first], d[first]
+        to = (k % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        k, d, to = k[order], d[order], to[order]
+        cut = np.flatnonzero(np.diff(to)) + 1
+        rows = [(int(x[0]), -1, y.tobytes(), z.tobytes()) for x, y, z in zip(np.split(to, cut), np.split(k, cut), np.split(d, cut), strict=True) if len(x)]
+        if len(u):
+            rows.append((int(u[0]) % buckets, _CANDIDATE, u.tobytes(), v.tobytes()))
+        return pa.Table.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows, strict=True) if rows else [()] * 4, _PACKED, strict=True)], schema=_PACKED)
+
+    return run
+
+
+def _finer(big: DataFrame, total: int, width: int, num: int, den: int) -> DataFrame:
+    """Components of the texts ``big`` (doc_id, text; ``total`` n-grams) by their rarest n-grams; lone texts are absent."""
+    chunks = max(1, total // CHUNK_NGRAMS)
+    own = big.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long"))
+    counted = own.groupBy("chunk").applyInArrow(_count_ngrams(width, chunks), _COUNTS_SQL).repartition(chunks, "bucket").mapInArrow(_sum_counts, _COUNTS_SQL)
+    posted = own.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_post_rarest(width, num, den, chunks), _PACKED_SQL)
+    edges = posted.repartition(chunks, "bucket").mapInArrow(_meet, _EDGE_SQL)
+    return connected_components(edges, "a", "b").withColumnsRenamed({"node": "doc_id", "component": "cluster"})
+
+
 def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     """Parity bitmaps: two of them differ in no more bits than their sets in members."""
     out = np.zeros((len(sets), bits // 64), np.uint64)
@@ -281,6 +367,12 @@ def ngram_jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: in
     )
     where = connected_components(met.where(F.col("kind") == _CANDIDATE), "a", "b").withColumnsRenamed({"node": "doc_id", "component": "cluster"}).checkpoint()
     sized = where.groupBy("cluster").agg(F.count("*").alias("members"))
+    dense = where.join(sized.where(F.col("members") > 2 * BLOCK).select("cluster"), "cluster", "left_semi").select("doc_id").checkpoint()
+    if most := dense.count():
+        total = met.where(F.col("kind") == _SIZE).join(maybe_broadcast(dense, most), F.col("a") == F.col("doc_id"), "left_semi").agg(F.sum("b")).first()[0]
+        again = _finer(texts.join(maybe_broadcast(dense, most), "doc_id", "left_semi"), total, width, num, den)
+        where = where.join(maybe_broadcast(dense, most), "doc_id", "left_anti").select("doc_id", "cluster").union(again.select("doc_id", "cluster")).checkpoint()
+        sized = where.groupBy("cluster").agg(F.count("*").alias("members"))
     large = sized.where(F.col("members") > 2 * BLOCK)
     blocks = where.join(sized, "cluster").select("doc_id", "cluster", F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int").alias("blocks"))
     blocks = blocks.withColumn("blocks", F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(1)).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).checkpoint()
