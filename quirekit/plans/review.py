@@ -110,12 +110,42 @@ def decision_reset_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH s AS (SELECT user_id, event_type, bool_or(event_id % 2 = 0) AS b, bool_or(event_id % 2 = 1) AS a FROM events WHERE value > 90 GROUP BY ALL)
 SELECT user_id, event_type, CASE WHEN a AND b THEN 'unresolved' WHEN b THEN 'resolved' ELSE 'regression' END AS outcome FROM s""")
 def full_outer_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings before and after a fix, by signature; both sides are one aggregation, so a full join isn't needed."""
+    """Findings before and after a fix, by signature; both sides are one aggregation, so a full join isn't needed.
+
+    As its SQL says, over large values only and without knock-on outcomes; ``issue_diff_by_day`` is the whole diff.
+    """
     side = lambda r: F.bool_or(F.col("event_id") % 2 == r)
     both = table(spark, sf_dir, "events").where("value > 90").groupBy("user_id", "event_type").agg(side(0).alias("b"), side(1).alias("a"))
     return both.select("user_id", "event_type", F.when(F.col("a") & F.col("b"), "unresolved").when(F.col("b"), "resolved").otherwise("regression").alias("outcome"))
 
 
+def issue_outcomes(events: DataFrame) -> DataFrame:
+    """Outcome of every signature (user_id, event_type) over all events, split at the middle day of the table.
+
+    Found on both sides it is unresolved, only before resolved, and only after
+    a knock-on where its type is still unresolved with any signature, else a
+    regression. Events without a time are on neither side.
+    """
+    day = F.col("ts").cast("date")
+    cut = events.agg(F.expr("date_add(min(cast(ts as date)), cast((datediff(max(cast(ts as date)), min(cast(ts as date))) + 1) div 2 as int))").alias("cut"))
+    dated = events.where("ts is not null").crossJoin(F.broadcast(cut))
+    both = dated.groupBy("user_id", "event_type").agg(F.bool_or(day < F.col("cut")).alias("b"), F.bool_or(day >= F.col("cut")).alias("a"))
+    still = both.where("a and b").select(F.col("event_type").alias("open_type"), F.lit(True).alias("open")).distinct()
+    found = both.join(still, F.col("event_type").eqNullSafe(F.col("open_type")), "left")
+    outcome = F.when(F.col("a") & F.col("b"), "unresolved").when(F.col("b"), "resolved").when(F.col("open"), "knock-on").otherwise("regression")
+    return found.select("user_id", "event_type", outcome.alias("outcome"))
+
+
+@register("issue_diff_by_day", """
+WITH cut AS (SELECT min(CAST(ts AS DATE)) + CAST((max(CAST(ts AS DATE)) - min(CAST(ts AS DATE)) + 1) // 2 AS INTEGER) AS cut FROM events),
+s AS (SELECT user_id, event_type, bool_or(CAST(ts AS DATE) < cut) AS b, bool_or(CAST(ts AS DATE) >= cut) AS a FROM events, cut WHERE ts IS NOT NULL GROUP BY ALL)
+SELECT user_id, event_type, CASE WHEN a AND b THEN 'unresolved' WHEN b THEN 'resolved'
+  WHEN EXISTS (SELECT 1 FROM s AS o WHERE o.a AND o.b AND o.event_type IS NOT DISTINCT FROM s.event_type) THEN 'knock-on' ELSE 'regression' END AS outcome FROM s""")
+def issue_diff_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings before and after a fix, by signature, over the whole table."""
+    return issue_outcomes(table(spark, sf_dir, "events"))
+
+
 @register("asof_previous_or_next", """
 SELECT event_id, coalesce(max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
   min(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS anchor FROM events""")
