@@ -67,7 +67,7 @@ FAMILIES = (
     ("sspl-1.0", "server side", r"server side public licen[sc]e(?: (?:version |v)?1(?: 0)?)?"),
     ("elastic-2.0", "elastic", r"elastic licen[sc]e(?: (?:version |v)?2(?: 0)?)?"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "public license", r"do what the fuck you want to public licen[sc]e"),
+    ("wtfpl", "public licen", r"do what the fuck you want to public licen[sc]e"),
     ("psf-2.0", "python", r"python software foundation licen[sc]e(?: (?:version |v)?2(?: 0)?)?"),
     ("php-3.01", "php", r"php licen[sc]e(?: (?:version |v)?3 0?1)?"),
     ("ruby", "ruby", r"ruby licen[sc]e"),
@@ -120,7 +120,7 @@ SINGLE = (
     ("unlicense", "public domain", r"this is free and unencumbered software released into the public domain", 4, 0.99),
     ("public-domain", "public domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain", 2, 0.8),
     ("proprietary", "proprietary", r"proprietary and confidential|confidential and proprietary|proprietary licen[sc]e", 2, 0.7),
-    ("proprietary", "reproduc", r"(?:may not|no part [a-z0-9 ]{0,60}may) be (?:copied|reproduced|distributed) (?:without|in any form)", 2, 0.7),
+    ("proprietary", "may", r"(?:may not|no part [a-z0-9 ]{0,60}may) be (?:copied|reproduced|distributed) (?:without|in any form)", 2, 0.7),
     ("copyright", "copyright", r"copyright (?:c )?(?:[12][0-9]{3})(?: [12][0-9]{3})*", 1, 0.4),
     ("reserved", "rights reserved", r"(?:all|some|no) rights reserved", 1, 0.6),
 )
