@@ -97,6 +97,45 @@ FAMILIES = (
     ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike(?: [1-4] 0)?(?: (?:international|unported))?"),
     ("cc-by", "creative commons", r"creative commons attribution(?: [1-4] 0)?(?: (?:international|unported))?"),
     ("cc0-1.0", "creative commons", r"creative commons (?:zero|cc0)(?: [1-4] 0)?(?: universal)?"),
+    # Bare names, without a version.
+    ("apache", "apache", r"apache (?:software )?licen[sc]e"),
+    ("bsd", "bsd", r"bsd(?: style| type)? licen[sc]e"),
+    ("gpl", "general public", r"(?:gnu )?general public licen[sc]e"),
+    ("gpl", "gpl", r"(?:gnu )?gpl"),
+    ("lgpl", "general public", r"(?:gnu )?(?:lesser|library) general public licen[sc]e"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
+    ("agpl", "agpl", r"(?:gnu )?agpl"),
+    ("gfdl", "gfdl", r"(?:gnu )?gfdl"),
+    ("cc-by", "cc by", r"cc by(?: [1-3] [05])?"),
+    ("creative-commons", "creative commons", r"creative commons licen[sc]e"),
+    # Further names.
+    ("x11", "x11", r"x11 licen[sc]e"),
+    ("mpl-1.0", "mozilla", r"mozilla public licen[sc]e (?:version |v)?1 0"),
+    ("mpl", " mpl", r"mpl"),
+    ("mpl-1.1", " mpl", r"mpl (?:version |v)?1 1"),
+    ("mpl-2.0", " mpl", r"mpl ?(?:version |v)?2(?: 0)?"),
+    ("eupl", "eupl", r"eupl"),
+    ("eupl-1.1", "eupl", r"eupl (?:version |v)?1 1"),
+    ("eupl-1.2", "eupl", r"eupl (?:version |v)?1 2"),
+    ("cecill", "cecill", r"cecill(?: [bc])?(?: licen[sc]e)?"),
+    ("apsl", "apple public", r"apple public source licen[sc]e"),
+    ("ipl-1.0", "ibm public", r"ibm public licen[sc]e"),
+    ("qpl-1.0", "q public", r"q public licen[sc]e"),
+    ("zpl", "zope", r"zope public licen[sc]e"),
+    ("postgresql", "postgresql", r"postgresql licen[sc]e"),
+    ("vim", "vim", r"vim licen[sc]e"),
+    ("blueoak-1.0", "blue oak", r"blue oak model licen[sc]e"),
+    ("hippocratic", "hippocratic", r"hippocratic licen[sc]e"),
+    ("json", "json", r"json licen[sc]e"),
+    ("ecl-2.0", "educational community", r"educational community licen[sc]e"),
+    ("rpl", "reciprocal public", r"reciprocal public licen[sc]e"),
+    ("cc-by", "creativecommons", r"creativecommons org licenses by(?: [1-4] [05])?"),
+    ("cc-by-sa", "creativecommons", r"creativecommons org licenses by sa(?: [1-4] [05])?"),
+    ("cc-by-nd", "creativecommons", r"creativecommons org licenses by nd(?: [1-4] [05])?"),
+    ("cc-by-nc", "creativecommons", r"creativecommons org licenses by nc(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", "creativecommons", r"creativecommons org licenses by nc sa(?: [1-4] [05])?"),
+    ("cc-by-nc-nd", "creativecommons", r"creativecommons org licenses by nc nd(?: [1-4] [05])?"),
+    ("cc0-1.0", "creativecommons", r"creativecommons org publicdomain zero(?: 1 0)?"),
 )
 
 #: How a family is named: form, what stands before and after the name, priority, and how sure it is.
@@ -122,6 +161,34 @@ SINGLE = (
     ("proprietary", "proprietary", r"proprietary and confidential|confidential and proprietary|proprietary licen[sc]e", 2, 0.7),
     ("proprietary", "may", r"(?:may not|no part [a-z0-9 ]{0,60}may) be (?:copied|reproduced|distributed) (?:without|in any form)", 2, 0.7),
     ("copyright", "copyright", r"copyright (?:c )?(?:[12][0-9]{3})(?: [12][0-9]{3})*", 1, 0.4),
+    ("apache-2.0", "applicable law", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis", 4, 0.9),
+    ("mit", "permission notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 4, 0.95),
+    ("bsd", "redistributions", r"redistributions (?:of source code|in binary form) must (?:retain|reproduce) the above copyright notice", 4, 0.95),
+    ("bsd-3-clause", "endorse", r"neither the names? of [a-z0-9 ]{1,120}may be used to endorse or promote products derived from this software", 4, 0.9),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 4, 0.98),
+    ("isc", "permission", r"permission to use copy modify and distribute this software for any purpose with or without fee", 4, 0.98),
+    ("hpnd", "permission", r"permission to use copy modify (?:and distribute|distribute and sell) this software and its documentation for any purpose", 4, 0.9),
+    ("postgresql", "written agreement", r"for any purpose without fee and without a written agreement is hereby granted", 4, 0.95),
+    ("bsl-1.0", "permission", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 4, 0.99),
+    ("zlib", "plainly marked", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 4, 0.98),
+    ("unlicense", "anyone is free", r"anyone is free to copy modify publish use compile sell or distribute this software", 4, 0.98),
+    ("cc0-1.0", "waived", r"waived all copyright and related or neighbou?ring rights", 4, 0.95),
+    ("gpl", "received a copy", r"you should have received a copy of the gnu general public licen[sc]e", 4, 0.95),
+    ("lgpl", "received a copy", r"you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e", 4, 0.95),
+    ("agpl", "received a copy", r"you should have received a copy of the gnu affero general public licen[sc]e", 4, 0.95),
+    ("gpl-2.0", "free software foundation", r"gnu general public licen[sc]e as published by the free software foundation (?:either )?version 2", 4, 0.98),
+    ("gpl-3.0", "free software foundation", r"gnu general public licen[sc]e as published by the free software foundation (?:either )?version 3", 4, 0.98),
+    ("lgpl-2.0", "free software foundation", r"gnu library general public licen[sc]e as published by the free software foundation (?:either )?version 2", 4, 0.98),
+    ("lgpl-2.1", "free software foundation", r"gnu lesser general public licen[sc]e as published by the free software foundation (?:either )?version 2 1", 4, 0.98),
+    ("lgpl-3.0", "free software foundation", r"gnu lesser general public licen[sc]e as published by the free software foundation (?:either )?version 3", 4, 0.98),
+    ("agpl-3.0", "free software foundation", r"gnu affero general public licen[sc]e as published by the free software foundation (?:either )?version 3", 4, 0.98),
+    ("gfdl", "free documentation", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e", 4, 0.98),
+    ("artistic", "artistic", r"under the terms of either the gnu general public licen[sc]e or the artistic licen[sc]e", 4, 0.95),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project", 4, 0.95),
+    ("php", "php", r"this product includes php software freely available from", 4, 0.95),
+    ("json", "good not evil", r"the software shall be used for good not evil", 4, 0.98),
+    ("beerware", "beer", r"as long as you retain this notice you can do whatever you want with this stuff [a-z0-9 ]{0,100}buy me a beer", 4, 0.98),
+    ("proprietary", "strictly prohibited", r"unauthori[sz]ed (?:copying|use|reproduction|distribution|duplication) [a-z0-9 ]{0,80}strictly prohibited", 2, 0.7),
     ("reserved", "rights reserved", r"(?:all|some|no) rights reserved", 1, 0.6),
 )
 

@@ -50,3 +50,27 @@ def test_proprietary_notices_need_no_other_word(text):
 def test_wtfpl_in_both_spellings():
     for word in ("license", "licence"):
         assert {d.label for d in detect(normal_form(f"Do What The Fuck You Want To Public {word}"))} == {"wtfpl"}
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("licensed under the GNU GPL", {"gpl"}),
+        ("Apache License", {"apache"}),
+        ("BSD license", {"bsd"}),
+        ("GNU Lesser General Public License", {"lgpl"}),
+        ("distributed under the LGPL", {"lgpl"}),
+        ("see https://creativecommons.org/licenses/by-nc-sa/4.0/", {"cc-by-nc-sa"}),
+        ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License", {"gpl-2.0"}),
+        ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", {"isc"}),
+        # A version, where there is one, decides.
+        ("licensed under the GNU GPL version 2 or later", {"gpl-2.0"}),
+        ("Licensed under the Apache License, Version 2.0", {"apache-2.0"}),
+        ("3-clause BSD license", {"bsd-3-clause"}),
+        ("GNU Lesser General Public License v2.1", {"lgpl-2.1"}),
+        ("CC BY-SA 4.0", {"cc-by-sa"}),
+        ("CC BY 4.0", {"cc-by-4.0"}),
+    ],
+)
+def test_notices_with_and_without_a_version(text, labels):
+    assert {d.label for d in detect(normal_form(text))} == labels
