@@ -6,10 +6,11 @@ line items and events are findings, line breaks of documents part blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_sql
 from ..sources.tables import table
 from .catalog import register
 
@@ -86,12 +87,25 @@ def dedup_keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("first_occurrence_duplicates", """
 SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents WHERE text IS NOT NULL) WHERE doc_id <> first_id""")
 def first_occurrence_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Later copies with the first one's id. Texts are shuffled as strong digests; a hot text is one row per task before the join."""
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    """Later copies of the same raw text with the first one's id, as its SQL says; ``normalized_duplicates`` compares normalized texts."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return later_copies(docs, F.col("text"))
+
+
+def later_copies(docs: DataFrame, key: Column) -> DataFrame:
+    """Later rows of a key with the first one's id. Keys are shuffled as strong digests; a hot key is one row per task before the join."""
+    docs = docs.select("doc_id", F.unhex(F.sha2(key, 256)).alias("digest"))
     first = docs.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     return docs.join(first, "digest").where("doc_id <> first_id").select("doc_id", "first_id")
 
 
+@register("normalized_duplicates", r"""
+SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS first_id FROM documents WHERE text IS NOT NULL) WHERE doc_id <> first_id""")
+def normalized_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later copies by normalized text, so also those that differ in case, blanks or punctuation alone."""
+    return later_copies(table(spark, sf_dir, "documents").where("text is not null"), normalize_sql(F.col("text")))
+
+
 @register("confidence_band_groups", """
 SELECT l_returnflag, CASE WHEN l_discount >= 0.08 THEN 'high' WHEN l_discount >= 0.04 THEN 'medium' ELSE 'low' END AS band, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY ALL""")
 def confidence_band_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

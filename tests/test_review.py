@@ -22,3 +22,11 @@ def test_issue_outcomes_count_small_values_and_knock_ons(spark):
         (5, "click"): "resolved", (7, None): "unresolved", (8, None): "knock-on",
     }
     assert review.issue_outcomes(df.limit(0)).count() == 0
+
+
+def test_duplicates_by_normalized_text(spark, tmp_path):
+    rows = [(1, "One two."), (2, "one  TWO"), (3, "One two."), (4, "one, two!"), (5, "onetwo"), (6, None), (7, None), (8, "..."), (9, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = lambda q: sorted(map(tuple, q(spark, str(tmp_path)).collect()))
+    assert found(review.normalized_duplicates) == [(2, 1), (3, 1), (4, 1), (9, 8)]
+    assert found(review.first_occurrence_duplicates) == [(3, 1)]
