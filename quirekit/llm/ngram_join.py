@@ -417,11 +417,29 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     """The rows of ``docs`` without those that link to a row of a lesser doc_id.
 
     Of each group of linked rows the one with the least doc_id stays, once where
-    rows repeat it. Rows without a doc_id all stay. Columns are those of ``docs``.
+    rows repeat it with the same text. Rows that have one doc_id and different
+    texts link each by its own text. Rows without a doc_id all stay. Columns
+    are those of ``docs``.
     """
+    prepare(docs.sparkSession)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    if ids.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return _keep_one_of_each_text(docs, width, num, den)
     groups = ngram_jaccard_groups(docs, width, num, den).where("doc_id is not null").checkpoint()
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(maybe_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
-    if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
-    return kept
+    return docs.join(maybe_broadcast(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+
+
+def _keep_one_of_each_text(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """``keep_one_of_each`` where doc_id is no key: each different text of a doc_id is a node of its own."""
+    text = F.coalesce(F.sha2(F.col("text").cast("string"), 256), F.lit(""))
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__digest": text})
+    # Numbered once and for all: a checkpoint is read, not computed again.
+    nodes = rows.where("__id is not null").select("__id", "__digest").distinct().withColumn("__node", F.monotonically_increasing_id()).checkpoint()
+    texts = rows.join(nodes, ["__id", "__digest"]).select(F.col("__node").alias("doc_id"), "text")
+    groups = ngram_jaccard_groups(texts, width, num, den).select(F.col("doc_id").alias("__node"), "component_id").distinct().checkpoint()
+    known = groups.join(nodes, "__node")
+    first = known.groupBy("component_id").agg(F.min(F.struct("__id", "__digest")).alias("first"))
+    stay = known.join(first, "component_id").where(F.struct("__id", "__digest") == F.col("first")).select("__id", "__digest").checkpoint()
+    kept = rows.join(maybe_broadcast(stay, stay.count()), ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"])
+    return kept.select(*docs.columns).union(rows.where("__id is null").select(*docs.columns))

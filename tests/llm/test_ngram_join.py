@@ -40,3 +40,11 @@ def test_keep_one_of_each_with_nulls_repeats_and_clashing_columns(spark):
     assert kept.columns == df.columns
     assert sorted((x.doc_id or -1) for x in kept.collect()) == [-1, 1, 2, 5]
     assert ngram_join.keep_one_of_each(df.limit(0)).count() == 0
+
+
+def test_keep_one_of_each_where_doc_id_is_no_key(spark):
+    """Each row links by its own text, also where another row has its doc_id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, b + " end"), (9, c), (9, c), (9, None), (8, "A" + a[1:]), (None, a)]
+    kept = ngram_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((x.doc_id or -1, x.text or "") for x in kept.collect()) == [(-1, a), (1, a), (5, b), (9, ""), (9, c)]
