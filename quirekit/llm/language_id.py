@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -20,8 +21,10 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Labelled rows that training takes at most of each language, those whose ids hash least.
 MAX_TRAIN_ROWS = 2000
-#: Languages that the sample may hold at most; more are an error.
-MAX_LANGUAGES = 500
+#: Languages that are counted, and held in one matrix, at a time; any number of blocks makes up a model.
+LANGUAGE_BLOCK = 64
+#: Parts of a language's ids that are ranked apart where there is more than one block.
+RANK_PARTS = 64
 #: Answer for texts that are null or have no letter.
 UNDETERMINED = "und"
 
@@ -49,10 +52,10 @@ def grams(text: str) -> Iterator[np.ndarray]:
 
 @dataclass
 class Model:
-    """``logp[bucket, language]`` and the logarithms of the languages' shares."""
+    """Matrices ``[bucket, language]`` of log-probabilities, one per block of languages, and the logarithms of the languages' shares."""
 
     langs: list[str]
-    logp: np.ndarray
+    logp: list[np.ndarray]
     prior: np.ndarray
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -60,7 +63,13 @@ class Model:
             return UNDETERMINED, 0.0
         total = self.prior.copy()
         for g in grams(text):
-            total += np.take(self.logp, g.astype(np.int64), axis=0).sum(0, dtype=np.float64)
+            at = 0
+            for block in self.logp:
+                n = block.shape[1]
+                step = max(1, 16 * _SLAB // n)  # bounds the rows taken at once
+                for start in range(0, len(g), step):
+                    total[at : at + n] += np.take(block, g[start : start + step].astype(np.int64), axis=0).sum(0, dtype=np.float64)
+                at += n
         best = int(total.argmax())  # the first in order where several are best
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -85,29 +94,45 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, alpha: float = 0.5, t
 
     Takes at most ``max_rows`` whole texts of each language, those whose ids
     hash least; ids and languages alone are ranked. N-grams are counted on the
-    executors, in ``tasks`` tasks since the sample is bounded, each of which
-    returns one row per language.
+    executors, block by block of languages, in ``tasks`` tasks since the sample
+    is bounded, each of which returns one row per language of the block.
     """
     prepare(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id"), 4, 2))
     ids = known.select("doc_id", "lang").distinct()
-    langs = [r.lang for r in ids.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    langs = [r.lang for r in ids.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    sample = None
-    for lang in langs:  # a bounded top-k each, which every task cuts to k before anything moves
-        own = ids.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-        sample = own if sample is None else sample.union(own)
-    found = known.join(F.broadcast(sample), ["doc_id", "lang"], "left_semi").select("lang", "text").repartition(tasks).mapInArrow(_count, _COUNT_SQL).collect()
-    counts, rows = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))
-    for r in found:
-        counts[:, langs.index(r.lang)] += np.frombuffer(bytes(r.counts), np.int64)
-        rows[langs.index(r.lang)] += r.rows
-    logp = np.log(counts + alpha) - np.log(counts.sum(0) + alpha * BUCKETS)
-    return Model(langs, logp.astype(np.float32), np.log(rows + 1) - np.log((rows + 1).sum()))
+        return Model([], [], np.zeros(0))
+    blocks = [langs[i : i + LANGUAGE_BLOCK] for i in range(0, len(langs), LANGUAGE_BLOCK)]
+    if len(blocks) == 1:
+        sample = None
+        for lang in langs:  # a bounded top-k each, which every task cuts to k before anything moves
+            own = ids.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+            sample = own if sample is None else sample.union(own)
+        texts = [known.join(F.broadcast(sample), ["doc_id", "lang"], "left_semi").select("lang", "text")]
+    else:
+        sample = known.join(_least(ids, max_rows), ["doc_id", "lang"], "left_semi").select("lang", "text").checkpoint()
+        texts = [sample.where(F.col("lang").between(b[0], b[-1])) for b in blocks]
+    logp, shares = [], []
+    for own, part in zip(blocks, texts, strict=True):
+        counts, rows, at = np.zeros((BUCKETS, len(own))), np.zeros(len(own)), {lang: i for i, lang in enumerate(own)}
+        for r in part.repartition(tasks).mapInArrow(_count, _COUNT_SQL).collect():
+            counts[:, at[r.lang]] += np.frombuffer(bytes(r.counts), np.int64)
+            rows[at[r.lang]] += r.rows
+        logp.append((np.log(counts + alpha) - np.log(counts.sum(0) + alpha * BUCKETS)).astype(np.float32))
+        shares.append(rows + 1)
+    share = np.concatenate(shares)
+    return Model(langs, logp, np.log(share) - np.log(share.sum()))
+
+
+def _least(ids: DataFrame, max_rows: int) -> DataFrame:
+    """The rows of each language whose ids hash least, ranked in parts first so that no language is one task's."""
+    order = (F.xxhash64("doc_id"), "doc_id")
+    parts = ids.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(RANK_PARTS)))
+    for key in (("lang", "part"), ("lang",)):
+        parts = parts.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col("rank") <= max_rows)
+    return parts.select("doc_id", "lang")
 
 
 def predictor(spark: SparkSession, model: Model):
