@@ -5,7 +5,9 @@ follow one another without a blank line form a passage. Passages, and the lines
 of passages of several lines, are normalised and hashed. A quoted hash (level 1
 or more) is joined to the first message of the same conversation that states it
 unquoted; only hashes, conversations and turns are shuffled for that, a row for
-each distinct one. The reply tree is followed by doubling pointers, so rounds
+each distinct one. A hash without an original there is joined to its first
+statement in another conversation, which is reported beside the reply tree and
+isn't part of it. The reply tree is followed by doubling pointers, so rounds
 grow with the logarithm of its depth.
 """
 
@@ -40,8 +42,8 @@ def parsed(messages: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", F.expr(_OWN).alias("own_text"), F.expr("cast(size(filter(__passages, p -> p.level > 0)) as bigint)").alias("n_quotes"), F.expr(_UNITS).alias("units"))
 
 
-def parents(rows: DataFrame) -> DataFrame:
-    """``(conv_id, turn, parent_turn, n_linked)`` of the messages with a quote whose original is known.
+def parents(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(conv_id, turn, parent_turn, n_linked)`` of the messages with a quote whose original is known, and ``elsewhere`` of the others.
 
     The original of a hash is the first turn of the conversation that states
     it. Of a message's linked hashes the least level decides, and on it the
@@ -52,8 +54,28 @@ def parents(rows: DataFrame) -> DataFrame:
     asked = quotes.select("conv_id", "hash").distinct()
     stated = keyed.select("conv_id", "turn", F.explode(F.expr("transform(filter(units, u -> u.level = 0), u -> u.hash)")).alias("hash"))
     first = stated.join(maybe_broadcast(asked, quotes.count()), ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
-    linked = quotes.join(first, ["conv_id", "hash"]).where("original < turn")
-    return linked.groupBy("conv_id", "turn").agg(F.min(F.struct("level", -F.col("original"))).alias("best"), F.count("*").alias("n_linked")).select("conv_id", "turn", (-F.col("best.col2")).alias("parent_turn"), "n_linked")
+    linked = quotes.join(first, ["conv_id", "hash"]).where("original < turn").checkpoint()
+    found = linked.groupBy("conv_id", "turn").agg(F.min(F.struct("level", -F.col("original"))).alias("best"), F.count("*").alias("n_linked")).select("conv_id", "turn", (-F.col("best.col2")).alias("parent_turn"), "n_linked")
+    return found, elsewhere(quotes.join(linked, ["conv_id", "turn", "hash"], "left_anti").checkpoint(), stated)
+
+
+def elsewhere(quotes: DataFrame, stated: DataFrame) -> DataFrame:
+    """``(conv_id, turn, n_elsewhere, other_conv_id, other_turn)`` of the quotes that another conversation states.
+
+    The original of a hash is its first statement by (conv_id, turn) outside
+    the quote's own conversation. Of a message's hashes the least level
+    decides, and on it the first original. Statements are reduced to two rows
+    per hash, the first and the first of another conversation.
+    """
+    asked = quotes.select("hash").distinct().checkpoint()
+    many = asked.count()
+    at = stated.join(maybe_broadcast(asked, many), "hash", "left_semi").groupBy("hash", "conv_id").agg(F.min("turn").alias("original")).select("hash", F.struct("conv_id", "original").alias("at")).checkpoint()
+    one = at.groupBy("hash").agg(F.min("at").alias("one")).checkpoint()
+    two = at.join(maybe_broadcast(one, many), "hash").where("at.conv_id <> one.conv_id").groupBy("hash").agg(F.min("at").alias("two"))
+    firsts = one.join(two, "hash", "left")
+    found = quotes.join(maybe_broadcast(firsts, many), "hash").withColumn("at", F.when(F.col("one.conv_id") != F.col("conv_id"), F.col("one")).otherwise(F.col("two"))).where("at is not null")
+    best = found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "at")).alias("best"), F.count("*").alias("n_elsewhere"))
+    return best.select("conv_id", "turn", "n_elsewhere", F.col("best.at.conv_id").alias("other_conv_id"), F.col("best.at.original").alias("other_turn"))
 
 
 def reply_tree(links: DataFrame) -> DataFrame:
@@ -74,7 +96,8 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
 
     Columns: conv_id, turn, role, own_text, formatted, n_quotes (quoted
     passages), n_linked (distinct quoted hashes with an original), parent_turn,
-    root_turn, depth. The order (conv_id, root_turn, turn) puts every message
+    root_turn, depth, n_elsewhere (distinct quoted hashes that only another
+    conversation states before), other_conv_id, other_turn. The order (conv_id, root_turn, turn) puts every message
     after the one it answers. Rows that repeat a conversation and turn count as
     one message in links and come back each; rows without either link with
     nothing and are their own root. A null role is formatted as ``unknown``.
@@ -82,10 +105,12 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
     """
     prepare(messages.sparkSession)
     rows = parsed(messages)
-    tree = reply_tree(parents(rows)).checkpoint()
-    found = rows.drop("units").join(maybe_broadcast(tree, tree.count()), ["conv_id", "turn"], "left")
+    links, other = parents(rows)
+    tree, other = reply_tree(links).checkpoint(), other.checkpoint()
+    found = rows.drop("units").join(maybe_broadcast(tree, tree.count()), ["conv_id", "turn"], "left").join(maybe_broadcast(other, other.count()), ["conv_id", "turn"], "left")
     return found.select(
         "conv_id", "turn", "role", "own_text",
         F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("unknown")), F.lit("\n"), "own_text", F.lit("<|im_end|>\n")).alias("formatted"),
         "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+        F.coalesce("n_elsewhere", F.lit(0)).alias("n_elsewhere"), "other_conv_id", "other_turn",
     )

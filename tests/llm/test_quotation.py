@@ -32,3 +32,23 @@ def test_long_reply_chain_and_empty_table(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert {r.turn: (r.root_turn, r.depth) for r in linked_conversations(df).collect()} == {t: (0, t) for t in range(20)}
     assert linked_conversations(df.limit(0)).count() == 0
+
+
+def test_quotes_of_other_conversations_are_linked(spark):
+    rows = [
+        *ROWS,
+        (3, 0, "user", "> Second point.\nHow?"),
+        (3, 1, "user", "second point."),
+        (4, 0, "user", "> How?\n> nowhere said\nx"),
+        (4, 1, "user", "How?\n\n>> x\n\n> first point."),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = {(r.conv_id, r.turn): (r.n_linked, r.parent_turn, r.n_elsewhere, r.other_conv_id, r.other_turn) for r in linked_conversations(df).collect()}
+    assert {k: v for k, v in got.items() if v[0] or v[2]} == {
+        (1, 1): (3, 0, 0, None, None),
+        (1, 2): (2, 1, 0, None, None),
+        (2, 0): (0, None, 1, 1, 1),
+        (3, 0): (0, None, 1, 1, 0),
+        (4, 0): (0, None, 1, 3, 0),
+        (4, 1): (1, 0, 1, 1, 0),
+    }
