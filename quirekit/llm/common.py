@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +23,19 @@ _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches and makes sure that a checkpoint folder is set.
+    """Bounds the session's Arrow batches and makes sure that a checkpoint folder is set.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; a temporary one is
-    made only where that is unset, as in tests.
+    The cluster names the folder in ``spark.checkpoint.dir``. Where that is
+    unset, a temporary one is made if driver and executors are one process, as
+    in tests; on a cluster an error is raised, since its machines share no
+    folder that could be guessed.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset; it has to name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again, so that it is neither computed twice nor rewritten by the optimizer."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint only for a table whose counted rows are within the bound."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
