@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ RANK_PARTS = 64
 #: Answer for texts that are null or have no letter.
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SLAB = 1 << 20
 
 
@@ -58,20 +58,42 @@ class Model:
     logp: list[np.ndarray]
     prior: np.ndarray
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or text is None or not _LETTER.search(text):
-            return UNDETERMINED, 0.0
-        total = self.prior.copy()
-        for g in grams(text):
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Answers for a batch: n-grams of many texts make a sparse matrix, whose rows are summed text by text."""
+        total = np.tile(self.prior, (len(texts), 1))
+        asked = [i for i, t in enumerate(texts) if self.langs and t is not None and _LETTER.search(t)]
+        parts: list[np.ndarray] = []
+        rows: list[int] = []
+        held = 0
+
+        def add() -> None:
+            nonlocal held
+            index = np.concatenate(parts).astype(np.int64)
+            starts = np.cumsum([0, *map(len, parts[:-1])])
             at = 0
             for block in self.logp:
-                n = block.shape[1]
-                step = max(1, 16 * _SLAB // n)  # bounds the rows taken at once
-                for start in range(0, len(g), step):
-                    total[at : at + n] += np.take(block, g[start : start + step].astype(np.int64), axis=0).sum(0, dtype=np.float64)
-                at += n
-        best = int(total.argmax())  # the first in order where several are best
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+                sums = np.add.reduceat(np.take(block, index, axis=0), starts, axis=0, dtype=np.float64)
+                np.add.at(total, (np.array(rows)[:, None], np.arange(at, at + block.shape[1])), sums)
+                at += block.shape[1]
+            parts.clear(), rows.clear()
+            held = 0
+
+        most = max(1, 2 * _SLAB // max((b.shape[1] for b in self.logp), default=1))  # bounds the rows taken at once
+        for i in asked:
+            for g in grams(texts[i]):
+                for start in range(0, len(g), most):
+                    parts.append(g[start : start + most])
+                    rows.append(i)
+                    held += len(parts[-1])
+                    if held >= most:
+                        add()
+        if parts:
+            add()
+        out = [(UNDETERMINED, 0.0)] * len(texts)
+        for i in asked:
+            best = int(total[i].argmax())  # the first in order where several are best
+            out[i] = self.langs[best], float(1 / np.exp(total[i] - total[i][best]).sum())
+        return out
 
 
 _COUNT_SQL = "lang string, rows long, counts binary"
@@ -89,13 +111,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([rows[k] for k in counts], pa.int64()), pa.array([c.tobytes() for c in counts.values()], pa.binary())], names=["lang", "rows", "counts"])
 
 
+def _sum(t: pa.Table) -> pa.Table:
+    counts = np.sum([np.frombuffer(c, np.int64) for c in t.column("counts").to_pylist()], axis=0)
+    return pa.table({"lang": t.column("lang")[:1].combine_chunks(), "rows": pa.array([sum(t.column("rows").to_pylist())], pa.int64()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+
 def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, alpha: float = 0.5, tasks: int = 8) -> Model:
     """A model from rows outside the held-out fold with text, lang and doc_id.
 
     Takes at most ``max_rows`` whole texts of each language, those whose ids
-    hash least; ids and languages alone are ranked. N-grams are counted on the
-    executors, block by block of languages, in ``tasks`` tasks since the sample
-    is bounded, each of which returns one row per language of the block.
+    hash least; ids and languages alone are ranked, in parts first so that no
+    language is one task's. N-grams are counted and summed on the executors,
+    block by block of languages, in ``tasks`` tasks since the sample is bounded;
+    one row per language of the block comes to the driver.
     """
     prepare(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -105,19 +133,16 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, alpha: float = 0.5, t
     if not langs:
         return Model([], [], np.zeros(0))
     blocks = [langs[i : i + LANGUAGE_BLOCK] for i in range(0, len(langs), LANGUAGE_BLOCK)]
-    if len(blocks) == 1:
-        sample = None
-        for lang in langs:  # a bounded top-k each, which every task cuts to k before anything moves
-            own = ids.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-            sample = own if sample is None else sample.union(own)
-        texts = [known.join(F.broadcast(sample), ["doc_id", "lang"], "left_semi").select("lang", "text")]
+    least = _least(ids, max_rows)
+    if len(blocks) == 1:  # the sample's ids are bounded by max_rows and the block
+        texts = [known.join(F.broadcast(least), ["doc_id", "lang"], "left_semi").select("lang", "text")]
     else:
-        sample = known.join(_least(ids, max_rows), ["doc_id", "lang"], "left_semi").select("lang", "text").checkpoint()
+        sample = known.join(least, ["doc_id", "lang"], "left_semi").select("lang", "text").checkpoint()
         texts = [sample.where(F.col("lang").between(b[0], b[-1])) for b in blocks]
     logp, shares = [], []
     for own, part in zip(blocks, texts, strict=True):
         counts, rows, at = np.zeros((BUCKETS, len(own))), np.zeros(len(own)), {lang: i for i, lang in enumerate(own)}
-        for r in part.repartition(tasks).mapInArrow(_count, _COUNT_SQL).collect():
+        for r in part.repartition(tasks).mapInArrow(_count, _COUNT_SQL).groupBy("lang").applyInArrow(_sum, _COUNT_SQL).collect():
             counts[:, at[r.lang]] += np.frombuffer(bytes(r.counts), np.int64)
             rows[at[r.lang]] += r.rows
         logp.append((np.log(counts + alpha) - np.log(counts.sum(0) + alpha * BUCKETS)).astype(np.float32))
@@ -143,7 +168,7 @@ def predictor(spark: SparkSession, model: Model):
     def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = Model(*shared.value)
         for texts in parts:
-            found = [m.predict(t.as_py()) for t in texts]
+            found = m.predict([t.as_py() for t in texts])
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
 
     return predict
