@@ -22,6 +22,8 @@ from .common import held_out, prepare
 WORD_BUCKETS = 1 << 14
 #: Labelled rows that training takes at most, those whose ids hash least.
 MAX_TRAIN_ROWS = 4096
+#: Features that are scored in one batch; a longer text is a batch of its own.
+BATCH_FEATURES = 100_000
 #: A row is predicted 1 from this score on.
 THRESHOLD = 0.3
 
@@ -96,6 +98,12 @@ class Model:
         s, q = np.add.reduceat(vx, starts), np.add.reduceat(vx * vx, starts)
         return self.w0 + np.add.reduceat(self.w[index] * value, starts) + 0.5 * (s * s - q).sum(1)
 
+    def logits_of(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of the indices and values of several rows, each of which has some."""
+        if not rows:
+            return np.empty(0)
+        return self.logits(np.concatenate([i for i, _ in rows]), np.concatenate([x for _, x in rows]), np.cumsum([0, *(len(i) for i, _ in rows[:-1])]))
+
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rank: int = 8, epochs: int = 12, steps: int = 600, rate: float = 0.1, l2: float = 1e-4, seed: int = 7) -> Model:
     """Adagrad on the logistic loss in batches, in the order that the seed gives.
@@ -178,22 +186,34 @@ def scorer(spark: SparkSession, model: Model):
     def score(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         m, buckets = Model(*shared.value), _Buckets()
         for texts, sizes in parts:
-            out = np.empty(len(texts))
-            for i, (t, n) in enumerate(zip(texts, sizes, strict=True)):
-                index, value = features(t.as_py(), n.as_py(), buckets)
-                out[i] = m.logits(index, value, np.zeros(1, np.int64))[0]
-            yield pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))
+            out, found, held = [], [], 0
+            for t, n in zip(texts, sizes, strict=True):
+                found.append(features(t.as_py(), n.as_py(), buckets))
+                held += len(found[-1][0])
+                if held >= BATCH_FEATURES:
+                    out.append(m.logits_of(found))
+                    found, held = [], 0
+            z = np.concatenate([*out, m.logits_of(found)])
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return score
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """``docs`` with the score, which depends on text and n_chars alone. Every row comes back once."""
+    """``docs`` with the score, which depends on text and n_chars alone.
+
+    Null texts are scored as empty ones. Every row comes back once, in whatever
+    way rows or ids repeat; a column of the score's name is replaced.
+    """
     prepare(docs.sparkSession)
     return docs.withColumn(column, scorer(docs.sparkSession, model)(F.col("text").cast("string"), _metadata(docs)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that a model trained from ``labels`` doesn't reject, with the columns of ``docs``."""
+    """The rows that a model trained from ``labels`` doesn't reject, with the columns of ``docs``.
+
+    Every row is judged by itself, null and empty texts as empty ones. Without
+    usable labels all rows score 0.5 and stay.
+    """
     found = scored(docs, train(docs, labels), "__score")
     return found.where(F.col("__score") >= threshold).drop("__score")
