@@ -69,6 +69,6 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message of ``conversations`` without quotes, with the message it answers."""
-    found = quotation.linked_conversations(table(spark, sf_dir, "conversations"))
-    return found.select("conv_id", "turn", "role", F.sha2("own_text", 256).alias("own_sha256"), F.sha2("formatted", 256).alias("formatted_sha256"), "n_quotes", "n_linked", "parent_turn", "root_turn", "depth", "n_elsewhere", "other_conv_id", "other_turn")
+    """Every message of ``conversations`` without quotes, with the message it answers and its position in reply order."""
+    found = quotation.reply_ordered(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "position", "turn", "role", F.sha2("own_text", 256).alias("own_sha256"), F.sha2("formatted", 256).alias("formatted_sha256"), "n_quotes", "n_linked", "parent_turn", "root_turn", "depth", "n_elsewhere", "other_conv_id", "other_turn")

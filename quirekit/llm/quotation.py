@@ -8,15 +8,18 @@ unquoted; only hashes, conversations and turns are shuffled for that, a row for
 each distinct one. A hash without an original there is joined to its first
 statement in another conversation, which is reported beside the reply tree and
 isn't part of it. The reply tree is followed by doubling pointers, so rounds
-grow with the logarithm of its depth.
+grow with the logarithm of its depth. Conversations are put in reply order by
+one sort over ranges, and positions are counted from the ranges' sizes, so that
+a conversation of any length is many tasks'.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, prepare
+from .common import materialised, maybe_broadcast, prepare
 
 #: A line above a quote that says whose it is.
 ATTRIBUTION = r"(?i)\b(wrote|writes|schrieb|écrit|escribió)\s*:\s*$"
@@ -31,15 +34,20 @@ _PASSAGES = """transform(__starts, (s, k) -> struct(__lines[s].level as level,
   filter(transform(slice(__lines, s + 1, coalesce(get(__starts, k + 1), size(__lines)) - s), x -> x.norm), n -> n <> '') as norms))"""
 _UNITS = """array_distinct(flatten(transform(__passages, p -> transform(
   if(size(p.norms) > 1, concat(array(array_join(p.norms, ' ')), p.norms), p.norms), n -> struct(p.level as level, unhex(sha2(n, 256)) as hash)))))"""
+_QUOTED = """transform(filter(__passages, p -> p.level > 0), p -> struct(p.level as level, array_join(p.norms, '\n') as passage))"""
 _OWN = f"""trim(BOTH '\n' FROM array_join(transform(filter(__lines, (x, i) -> x.level = 0
   and not (x.raw rlike r'{ATTRIBUTION}' and coalesce(get(__lines, i + 1).level, 0) > 0)), x -> x.raw), '\n'))"""
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """``(conv_id, turn, role, own_text, n_quotes, units)`` of every row; a null text counts as empty."""
+    """``(conv_id, turn, role, own_text, quoted, n_quotes, units)`` of every row; a null text counts as empty.
+
+    ``quoted`` has level and normalised text of the quoted passages that
+    ``own_text`` lacks, whether or not they link to an original.
+    """
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text")
     rows = rows.withColumn("__lines", F.expr(_LINES)).withColumn("__starts", F.expr(_STARTS)).withColumn("__passages", F.expr(_PASSAGES))
-    return rows.select("conv_id", "turn", "role", F.expr(_OWN).alias("own_text"), F.expr("cast(size(filter(__passages, p -> p.level > 0)) as bigint)").alias("n_quotes"), F.expr(_UNITS).alias("units"))
+    return rows.select("conv_id", "turn", "role", F.expr(_OWN).alias("own_text"), F.expr(_QUOTED).alias("quoted"), F.expr("cast(size(filter(__passages, p -> p.level > 0)) as bigint)").alias("n_quotes"), F.expr(_UNITS).alias("units"))
 
 
 def parents(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,23 +102,44 @@ def reply_tree(links: DataFrame) -> DataFrame:
 def linked_conversations(messages: DataFrame) -> DataFrame:
     """Every row of ``messages`` without its quotes and with its place in the replies.
 
-    Columns: conv_id, turn, role, own_text, formatted, n_quotes (quoted
+    Columns: conv_id, turn, role, own_text, quoted, formatted, n_quotes (quoted
     passages), n_linked (distinct quoted hashes with an original), parent_turn,
     root_turn, depth, n_elsewhere (distinct quoted hashes that only another
-    conversation states before), other_conv_id, other_turn. The order (conv_id, root_turn, turn) puts every message
-    after the one it answers. Rows that repeat a conversation and turn count as
-    one message in links and come back each; rows without either link with
-    nothing and are their own root. A null role is formatted as ``unknown``.
-    Other columns are ignored.
+    conversation states before), other_conv_id, other_turn. The order (conv_id,
+    root_turn, turn) puts every message after the one it answers. Rows that
+    repeat a conversation and turn count as one message in links and come back
+    each; rows without either link with nothing and are their own root. A null
+    role is formatted as ``unknown``. Other columns are ignored.
     """
     prepare(messages.sparkSession)
-    rows = parsed(messages)
+    rows = materialised(parsed(messages), "messages")
     links, other = parents(rows)
     tree, other = reply_tree(links).checkpoint(), other.checkpoint()
     found = rows.drop("units").join(maybe_broadcast(tree, tree.count()), ["conv_id", "turn"], "left").join(maybe_broadcast(other, other.count()), ["conv_id", "turn"], "left")
     return found.select(
-        "conv_id", "turn", "role", "own_text",
+        "conv_id", "turn", "role", "own_text", "quoted",
         F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("unknown")), F.lit("\n"), "own_text", F.lit("<|im_end|>\n")).alias("formatted"),
         "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
         F.coalesce("n_elsewhere", F.lit(0)).alias("n_elsewhere"), "other_conv_id", "other_turn",
     )
+
+
+def reply_ordered(messages: DataFrame) -> DataFrame:
+    """Conversations in reply order: the rows of ``linked_conversations`` with ``position``, sorted by (conv_id, position).
+
+    A thread stands after the threads of earlier roots and, within it, every
+    message after the one it answers; position counts a conversation's messages
+    from 0. Joined in this order, ``formatted`` is the conversation's text. Rows
+    without a conversation have a position among themselves, those without a
+    turn come first in theirs; rows that repeat a turn follow one another.
+    """
+    found = linked_conversations(messages).drop("position")
+    order = [F.col("conv_id").asc_nulls_first(), F.col("root_turn").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("formatted").asc()]
+    ranged = found.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    ranged = materialised(ranged, "ordered")
+    # A row per conversation and range, so never many of one conversation.
+    runs = ranged.groupBy("conv_id", "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("conv_id").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(F.col("conv_id").alias("__conv"), F.col("__part").alias("__of"), "__first", before.alias("__before"))
+    joined = ranged.join(runs, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("__part") == F.col("__of")))
+    return joined.withColumn("position", F.col("__at") - F.col("__first") + F.col("__before")).drop("__part", "__at", "__conv", "__of", "__first", "__before")

@@ -1,4 +1,7 @@
-from quirekit.llm.quotation import linked_conversations
+import random
+import time
+
+from quirekit.llm.quotation import linked_conversations, reply_ordered
 
 ROWS = [
     (1, 0, "user", "First point.\nSecond point.\n\nThird  Point."),
@@ -52,3 +55,75 @@ def test_quotes_of_other_conversations_are_linked(spark):
         (4, 0): (0, None, 1, 3, 0),
         (4, 1): (1, 0, 1, 1, 0),
     }
+
+
+def brute(rows):
+    """Links, roots and order found line by line in Python, for plain quotes without attributions."""
+    def units(text):
+        out, run = [], []
+
+        def close():
+            if run:
+                level, norms = run[0][0], [n for _, n in run]
+                out.extend((level, n) for n in ([" ".join(norms), *norms] if len(norms) > 1 else norms))
+                run.clear()
+
+        for line in (text or "").split("\n"):
+            body = line.lstrip("> ") if line.startswith(">") else line
+            level = line[: len(line) - len(body)].count(">")
+            norm = " ".join(body.lower().split())
+            if not norm or (run and run[0][0] != level):
+                close()
+            if norm:
+                run.append((level, norm))
+        close()
+        return out
+
+    said = {}
+    for conv, turn, text in rows:
+        for level, n in units(text):
+            if level == 0:
+                said[conv, n] = min(turn, said.get((conv, n), turn))
+    parent = {}
+    for conv, turn, text in rows:
+        hits = [(level, -said[conv, n]) for level, n in units(text) if level and said.get((conv, n), turn) < turn]
+        parent[conv, turn] = -min(hits)[1] if hits else None
+
+    def root(conv, turn):
+        while parent[conv, turn] is not None:
+            turn = parent[conv, turn]
+        return turn
+
+    order = sorted((conv, root(conv, turn), turn) for conv, turn, _ in rows)
+    firsts = {}
+    for i, (conv, _, _) in enumerate(order):
+        firsts.setdefault(conv, i)
+    return {(conv, turn): (parent[conv, turn], r, i - firsts[conv]) for i, (conv, r, turn) in enumerate(order)}
+
+
+def test_generated_threads_equal_brute_force_and_long_texts_end_soon(spark):
+    r = random.Random(11)
+    rows = []
+    for conv in range(6):
+        stated = []
+        for turn in range(r.choice((3, 40, 150))):
+            quotes = [f"{'>' * r.randrange(1, 4)} {r.choice(stated)}" for _ in range(r.randrange(3)) if stated]
+            own = [f"Line {r.randrange(400)} of {conv % 3}" for _ in range(r.randrange(1, 4))]
+            stated += own
+            rows.append((conv, turn, "\n".join([*quotes, "", *own])))
+    long = [f"word {i} and more" for i in range(2000)]
+    rows += [(50, 0, "\n".join(long)), (50, 1, "\n".join(f"> {x}" for x in long) + "\nyes"), (50, 2, "\n".join(x for i in range(0, 2000, 2) for x in (f"> {long[i]}", "fine")))]
+    df = spark.createDataFrame([(c, t, "user", x, 7) for c, t, x in rows], "conv_id long, turn long, role string, text string, position int").repartition(5)
+    start = time.time()
+    got = reply_ordered(df).collect()
+    assert time.time() - start < 60
+    assert {(x.conv_id, x.turn): (x.parent_turn, x.root_turn, x.position) for x in got} == brute(rows)
+    assert "".join(x.formatted for x in sorted((x for x in got if x.conv_id == 50), key=lambda x: x.position)).startswith("<|im_start|>user\nword 0 and more\n")
+
+
+def test_reply_order_of_nulls_repeats_and_empty_tables(spark):
+    df = spark.createDataFrame(ROWS, "conv_id long, turn int, role string, text string")
+    got = reply_ordered(df)
+    assert sorted((r.conv_id or 0, r.position) for r in got.collect()) == [(0, 0), (1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (2, 0), (2, 1)]
+    assert [r.quoted[0].passage for r in got.where("turn = 3").collect()] == ["never said"] * 2
+    assert reply_ordered(df.limit(0)).count() == 0
