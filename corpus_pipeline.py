@@ -44,7 +44,7 @@ STAGES = [
     ("bpe", tokenize),
 ]
 
-#: SQL can't express the classifier, so the stages are tested one by one.
+#: SQL can't express the classifier; tests/llm/test_pipeline.py holds each stage to a brute-force version.
 ORACLE_SQL = None
 
 
