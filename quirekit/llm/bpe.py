@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 #: Bytes of text after which a chunk ends. A longer text is a chunk of its own.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Texts after which a chunk ends.
 CHUNK_ROWS = 100_000
 #: Tasks that own words, at most.
 MOST_OWNERS = 2048
 #: Words whose ids a task remembers; beyond that it forgets all and starts anew.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -183,7 +183,7 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _answer(shared: _Shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, bytes] = {}
         for b in batches:
             for owner, chunk, words in zip(*(b.column(c).to_pylist() for c in ("owner", "chunk", "words")), strict=True):
                 ids = []
@@ -191,9 +191,9 @@ def _answer(shared: _Shared):
                     if (found := known.get(w)) is None:
                         if len(known) >= KNOWN_WORDS:
                             known.clear()
-                        found = known[w] = np.array(codec.encode_piece(w.decode("utf-8", "surrogatepass")), np.uint32)
+                        found = known[w] = np.array(codec.encode_piece(w.decode("utf-8", "surrogatepass")), "<u4").tobytes()
                     ids.append(found)
-                row = [chunk, owner, squeeze(np.fromiter(map(len, ids), np.uint32, len(ids))), squeeze(np.concatenate(ids))]
+                row = [chunk, owner, squeeze(np.fromiter(map(len, ids), np.uint32, len(ids)) // 4), squeeze(np.frombuffer(b"".join(ids), "<u4"))]
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _ANSWER, strict=True)], schema=_ANSWER)
 
     return run
@@ -211,9 +211,7 @@ def _reassemble(shared: _Shared, keep_ids: bool):
         counts, starts = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64)
         counts[by] = np.concatenate([empty, *(unsqueeze(g[1]) for g in got)])
         starts[by] = np.cumsum(counts[by]) - counts[by]
-        shown_ids = list(map(str, flat.tolist()))
-        shown = [" ".join(shown_ids[a:b]) for a, b in zip(starts.tolist(), (starts + counts).tolist(), strict=True)]
-        del shown_ids
+        shown = [" ".join(map(str, flat[a:b].tolist())) for a, b in zip(starts.tolist(), (starts + counts).tolist(), strict=True)]
         places, at, out = unsqueeze(row["places"]), 0, []
         for i, (doc, n) in enumerate(zip(row["docs"], row["sizes"], strict=True)):
             p = places[at : at + n]
