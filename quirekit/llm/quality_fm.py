@@ -58,7 +58,7 @@ class _Buckets(dict):
     """Word buckets, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         b = self[word] = xxhash.xxh3_64_intdigest(word) & (WORD_BUCKETS - 1)
         return b
