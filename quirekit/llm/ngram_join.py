@@ -134,6 +134,45 @@ def _stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order[first], pairs[:, 0], pairs[:, 1]
 
 
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of a graph that aren't the least of their component, and the least one of each."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, root):
+            break
+        root = new
+    other = root != np.arange(len(nodes))
+    return nodes[other], nodes[root[other]]
+
+
+def _posted(keys: np.ndarray, docs: np.ndarray, buckets: int) -> tuple[list[tuple[int, int, bytes, bytes]], np.ndarray, np.ndarray]:
+    """Packed postings of a chunk, and its own edges.
+
+    What the chunk's own postings join is posted as one document, the least, so
+    that a passage which many of its texts share goes once to each bucket.
+    """
+    first, u, v = _stars(keys, docs)
+    u, v = contracted(u, v)
+    keys, docs = keys[first], docs[first]
+    if len(u):
+        at = np.minimum(np.searchsorted(u, docs), len(u) - 1)
+        docs = np.where(u[at] == docs, v[at], docs)
+    to = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    keys, docs, to = keys[order], docs[order], to[order]
+    cut = np.flatnonzero(np.diff(to)) + 1
+    parts = zip(np.split(to, cut), np.split(keys, cut), np.split(docs, cut), strict=True)
+    return [(int(x[0]), -1, y.tobytes(), z.tobytes()) for x, y, z in parts if len(x)], u, v
+
+
 def _map_postings(width: int, num: int, den: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, posted = _WordHashes(), 0
@@ -150,19 +189,10 @@ def _map_postings(width: int, num: int, den: int, buckets: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal posted, turn
-            rows = []
             k, d = (np.concatenate(keys), np.concatenate(ids)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            first, u, v = _stars(k, d)
-            k, d = k[first], d[first]
-            to = (k % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            k, d, to = k[order], d[order], to[order]
-            cut = np.flatnonzero(np.diff(to)) + 1
-            for kk, dd, tt in zip(np.split(k, cut), np.split(d, cut), np.split(to, cut), strict=True):
-                if len(tt):
-                    rows.append((int(tt[0]), -1, kk.tobytes(), dd.tobytes()))
+            rows, u, v = _posted(k, d, buckets)
             turn += 1
-            lone = turn * 7919 + (int(d[0]) if len(d) else 0)
+            lone = turn * 7919 + (int(d[0]) if len(d) else 0)  # any bucket will do
             if len(u):
                 rows.append(packed(_CANDIDATE, u, v, lone % buckets))
             for kind, pairs in ((_LINK, links), (_SIZE, sizes), (_NULL_ID, [(0, n) for n in nulls])):
@@ -210,7 +240,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             yield rows(kind, np.frombuffer(left, np.int64), np.frombuffer(right, np.int64))
     _, u, v = _stars(np.concatenate(keys), np.concatenate(docs))
-    yield rows(_CANDIDATE, u, v)
+    yield rows(_CANDIDATE, *contracted(u, v))  # one edge of each document at most
 
 
 _COUNTS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -267,14 +297,7 @@ def _post_rarest(width: int, num: int, den: int, buckets: int):
             at = np.searchsorted(k[:-1], s)
             keys.append(rarest(s, np.where(k[at] == s, c[at], 1), num, den))
             ids.append(np.full(len(keys[-1]), doc, np.int64))
-        k, d = np.concatenate(keys), np.concatenate(ids)
-        first, u, v = _stars(k, d)
-        k, d = k[first], d[first]
-        to = (k % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        k, d, to = k[order], d[order], to[order]
-        cut = np.flatnonzero(np.diff(to)) + 1
-        rows = [(int(x[0]), -1, y.tobytes(), z.tobytes()) for x, y, z in zip(np.split(to, cut), np.split(k, cut), np.split(d, cut), strict=True) if len(x)]
+        rows, u, v = _posted(np.concatenate(keys), np.concatenate(ids), buckets)
         if len(u):
             rows.append((int(u[0]) % buckets, _CANDIDATE, u.tobytes(), v.tobytes()))
         return pa.Table.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows, strict=True) if rows else [()] * 4, _PACKED, strict=True)], schema=_PACKED)
