@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import ensure_checkpoint_dir, table  # noqa: F401
+
 #: Rows of one Arrow batch. Texts may be long, so batches hold few of them.
 BATCH_ROWS = 500
 
@@ -25,27 +25,16 @@ _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 def prepare(spark: SparkSession) -> None:
     """Bounds the session's Arrow batches and makes sure that a checkpoint folder is set.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Where that is
-    unset, a temporary one is made if driver and executors are one process, as
-    in tests; on a cluster an error is raised, since its machines share no
-    folder that could be guessed.
+    The folder is that of ``sources.tables.ensure_checkpoint_dir``.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is unset; it has to name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    ensure_checkpoint_dir(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names, for tables an operator writes."""
     prepare(spark)
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return ensure_checkpoint_dir(spark)
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
