@@ -254,3 +254,22 @@ def nearest_within(df: DataFrame, other: DataFrame, keys: list[str], at: str, ot
     gap = F.col("__at") - F.col(at)
     best = probes.join(sides, same).where((gap >= low) & (gap < high)).groupBy(*df.columns).agg(F.min(F.struct(F.abs(gap).alias("gap"), "__id")).alias("__best"))
     return df.join(best.select(*df.columns, F.col("__best.__id").alias("nearest")), df.columns, "left")
+
+
+def gap_sessions(df: DataFrame, keys: list[str], at: str, id_: str, gap: int, block: int, name: str = "session") -> DataFrame:
+    """W8 by time: numbers from 1 of a group's sessions, cut where more than ``gap`` passes; ``at`` is a whole number, ties go by ``id_``.
+
+    Rows are numbered inside blocks of time and blocks by a row each, so a hot
+    group is many tasks'.
+    """
+    inside = W.partitionBy(*keys, "__block").orderBy(at, id_)
+    rows = df.withColumn("__block", F.floor(F.col(at) / F.lit(block))).withColumn("__previous", F.lag(at).over(inside))
+    across = W.partitionBy(*keys).orderBy("__block")
+    ends = rows.groupBy(*keys, "__block").agg(F.max(at).alias("__last")).withColumn("__before", F.lag("__last").over(across)).drop("__last")
+    previous = F.coalesce("__previous", "__before")
+    marked = rows.join(ends, [*keys, "__block"]).withColumn("__new", F.when(previous.isNull() | (F.col(at) - previous > gap), 1).otherwise(0))
+    starts = marked.groupBy(*keys, "__block").agg(F.sum("__new").alias("__n"))
+    offset = F.coalesce(F.sum("__n").over(across.rowsBetween(*_BEFORE)), F.lit(0))
+    starts = starts.select(*keys, "__block", offset.alias("__offset"))
+    running = F.sum("__new").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    return marked.join(starts, [*keys, "__block"]).withColumn(name, (running + F.col("__offset")).cast("long")).drop("__block", "__previous", "__before", "__new", "__offset")

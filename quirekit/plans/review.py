@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_sql
+from ..operators import sequence
 from ..sources.tables import table
 from .catalog import register
 
@@ -37,12 +38,14 @@ def project_stats_left_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("zero_filled_pivot_counts", "SELECT user_id, " + ", ".join(f"CAST(count(*) FILTER (event_type = '{t}') AS BIGINT) AS n_{t}" for t in EVENT_TYPES) + " FROM events GROUP BY user_id")
 def zero_filled_pivot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: a count of every type per user, 0 where none."""
     return table(spark, sf_dir, "events").groupBy("user_id").agg(*(F.count_if(F.col("event_type") == t).alias(f"n_{t}") for t in EVENT_TYPES))
 
 
 @register("weighted_penalty_score", """
 SELECT o_custkey, CAST(greatest(0, 100 - sum(CASE o_orderpriority WHEN '1-URGENT' THEN 15 WHEN '2-HIGH' THEN 8 WHEN '3-MEDIUM' THEN 4 ELSE 1 END)) AS BIGINT) AS score FROM orders GROUP BY o_custkey""")
 def weighted_penalty_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 with penalties by priority."""
     penalty = F.coalesce(*(F.when(F.col("o_orderpriority") == p, n) for p, n in PENALTIES.items()), F.lit(1))
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(_long(F.greatest(F.lit(0), 100 - F.sum(penalty))).alias("score"))
 
@@ -66,12 +69,14 @@ def status_rate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
 WHERE c_mktsegment = 'BUILDING' AND (contains(lower(c_name), '00012') OR contains(lower(n_name), 'nation_1'))""")
 def project_search_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5 with fixed parameters."""
     found = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return found.where(F.lower("c_name").contains("00012") | F.lower("n_name").contains("nation_1")).select("c_custkey", "c_name", "n_name")
 
 
 @register("queue_claim_oldest", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 1")
 def queue_claim_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oldest open job, a top-1 without a sort of all."""
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").orderBy("o_orderdate", "o_orderkey").limit(1).select("o_orderkey", "o_orderdate")
 
 
@@ -109,6 +114,7 @@ def normalized_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("confidence_band_groups", """
 SELECT l_returnflag, CASE WHEN l_discount >= 0.08 THEN 'high' WHEN l_discount >= 0.04 THEN 'medium' ELSE 'low' END AS band, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY ALL""")
 def confidence_band_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A24, R13 by flag and band."""
     band = F.when(F.col("l_discount") >= 0.08, "high").when(F.col("l_discount") >= 0.04, "medium").otherwise("low").alias("band")
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", band).agg(F.count("*").alias("n"))
 
@@ -116,23 +122,11 @@ def confidence_band_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("decision_reset_verdict", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'REJECTED' WHEN l_linestatus = 'F' AND l_discount >= 0.095 THEN 'AUTO_FIXED' ELSE 'PENDING_REVIEW' END AS verdict FROM lineitem""")
 def decision_reset_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reset would restore."""
     verdict = F.when(F.col("l_returnflag") == "R", "REJECTED").when((F.col("l_linestatus") == "F") & (F.col("l_discount") >= 0.095), "AUTO_FIXED").otherwise("PENDING_REVIEW")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", verdict.alias("verdict"))
 
 
-@register("full_outer_before_after", """
-WITH s AS (SELECT user_id, event_type, bool_or(event_id % 2 = 0) AS b, bool_or(event_id % 2 = 1) AS a FROM events WHERE value > 90 GROUP BY ALL)
-SELECT user_id, event_type, CASE WHEN a AND b THEN 'unresolved' WHEN b THEN 'resolved' ELSE 'regression' END AS outcome FROM s""")
-def full_outer_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings before and after a fix, by signature; both sides are one aggregation, so a full join isn't needed.
-
-    As its SQL says, over large values only and without knock-on outcomes; ``issue_diff_by_day`` is the whole diff.
-    """
-    side = lambda r: F.bool_or(F.col("event_id") % 2 == r)
-    both = table(spark, sf_dir, "events").where("value > 90").groupBy("user_id", "event_type").agg(side(0).alias("b"), side(1).alias("a"))
-    return both.select("user_id", "event_type", F.when(F.col("a") & F.col("b"), "unresolved").when(F.col("b"), "resolved").otherwise("regression").alias("outcome"))
-
-
 def issue_outcomes(events: DataFrame) -> DataFrame:
     """Outcome of every signature (user_id, event_type) over all events, split at the middle day of the table.
 
@@ -150,12 +144,12 @@ def issue_outcomes(events: DataFrame) -> DataFrame:
     return found.select("user_id", "event_type", outcome.alias("outcome"))
 
 
-@register("issue_diff_by_day", """
+@register("full_outer_before_after", """
 WITH cut AS (SELECT min(CAST(ts AS DATE)) + CAST((max(CAST(ts AS DATE)) - min(CAST(ts AS DATE)) + 1) // 2 AS INTEGER) AS cut FROM events),
 s AS (SELECT user_id, event_type, bool_or(CAST(ts AS DATE) < cut) AS b, bool_or(CAST(ts AS DATE) >= cut) AS a FROM events, cut WHERE ts IS NOT NULL GROUP BY ALL)
 SELECT user_id, event_type, CASE WHEN a AND b THEN 'unresolved' WHEN b THEN 'resolved'
   WHEN EXISTS (SELECT 1 FROM s AS o WHERE o.a AND o.b AND o.event_type IS NOT DISTINCT FROM s.event_type) THEN 'knock-on' ELSE 'regression' END AS outcome FROM s""")
-def issue_diff_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+def full_outer_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings before and after a fix, by signature, over the whole table."""
     return issue_outcomes(table(spark, sf_dir, "events"))
 
@@ -164,26 +158,24 @@ def issue_diff_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, coalesce(max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
   min(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS anchor FROM events""")
 def asof_previous_or_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest earlier anchor of the same user, else the nearest later one."""
-    anchor, w = F.when(F.col("event_type") == "error", F.col("event_id")), W.partitionBy("user_id").orderBy("event_id")
-    before = F.last(anchor, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    after = F.first(anchor, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(before, after).alias("anchor"))
+    """The nearest earlier anchor of the same user, else the nearest later one; found in blocks, so that a hot user isn't one task's."""
+    events = table(spark, sf_dir, "events")
+    return sequence.asof_either_way(events, ["user_id"], "event_id", F.col("event_type") == "error", F.col("event_id"), 1 << 16).select("event_id", "anchor")
 
 
 @register("gap_sessionize", """
 SELECT event_id, CAST(sum(CASE WHEN gap > 3600000000 OR gap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session
 FROM (SELECT event_id, user_id, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)""")
 def gap_sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of a user, cut where an hour passes; both windows share one shuffle and sort."""
-    w, at = W.partitionBy("user_id").orderBy("ts", "event_id"), F.unix_micros(F.col("ts").cast("timestamp"))
-    gaps = table(spark, sf_dir, "events").withColumn("gap", at - F.lag(at).over(w))
-    return gaps.select("event_id", _long(F.sum(F.when(F.col("gap").isNull() | (F.col("gap") > 3_600_000_000), 1).otherwise(0)).over(w)).alias("session"))
+    """W8 by time: sessions of a user, cut where an hour passes; numbered in blocks of a day, so that a hot user isn't one task's."""
+    events = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    return sequence.gap_sessions(events, ["user_id"], "at", "event_id", 3_600_000_000, 86_400_000_000).select("event_id", "session")
 
 
 @register("numbering_gaps", """
 SELECT l_orderkey, CAST(max(l_linenumber) - count(DISTINCT l_linenumber) AS BIGINT) AS n_missing FROM lineitem GROUP BY l_orderkey""")
 def numbering_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many numbers an order lacks."""
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(_long(F.max("l_linenumber") - F.countDistinct("l_linenumber")).alias("n_missing"))
 
 
@@ -198,5 +190,6 @@ def weighted_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("html_meta", """
 SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a\\s')) AS BIGINT) AS n_links FROM pages""")
 def html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 by expressions alone: language, title and number of links."""
     find = lambda p: F.regexp_extract("html", p, 1)
     return table(spark, sf_dir, "pages").select("page_id", find('<html lang="([^"]*)"').alias("lang"), find("<title>([^<]*)</title>").alias("title"), _long(F.regexp_count("html", F.lit(r"<a\s"))).alias("n_links"))
