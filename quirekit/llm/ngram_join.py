@@ -466,3 +466,21 @@ def _keep_one_of_each_text(docs: DataFrame, width: int, num: int, den: int) -> D
     stay = known.join(first, "component_id").where(F.struct("__id", "__digest") == F.col("first")).select("__id", "__digest").checkpoint()
     kept = rows.join(maybe_broadcast(stay, stay.count()), ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"])
     return kept.select(*docs.columns).union(rows.where("__id is null").select(*docs.columns))
+
+
+def oracle(width: int, num: int, den: int) -> str:
+    """DuckDB SQL of ``ngram_jaccard_groups`` over ``documents``, all pairs that share an n-gram compared; for small tables whose doc_id is a key."""
+    upper = "".join(map(chr, range(65, 91)))
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + {width - 1}], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - {width - 1}) + 1)) AS i FROM w WHERE len(words) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {den} * c >= {num} * (x.n + y.n - c)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (SELECT doc_id AS d, doc_id AS k FROM documents UNION SELECT r.d, e.b FROM r JOIN e ON r.k = e.a)
+SELECT d AS doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(k) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.d GROUP BY d
+"""

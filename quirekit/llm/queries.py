@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from . import bpe, fingerprint, language_id, license_scan, mixing, quality_fm, quality_rules, quotation, warc
 from .common import held_out, table
-from .ngram_join import ngram_jaccard_groups
+from .ngram_join import ngram_jaccard_groups, oracle
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": oracle(3, 90, 100),
     "op6_warc": warc.ORACLE,
     "op8_quality_rules": quality_rules.oracle(),
     "op10_mixing": mixing.ORACLE,
