@@ -26,6 +26,10 @@ CELLS = 24
 CELL_WORDS = 8
 #: Bytes of text that a task is sized for.
 TASK_BYTES = 16 << 20
+#: Parts of the documents' order, at most; beyond that a task streams through more than ``TASK_BYTES``.
+MOST_PARTS = 8192
+#: Where null ids stand in the order, after all others.
+_NULL_ID = -(2**63)
 
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 _CHECK = np.uint64(0xD6E8FEB86659FD93)
@@ -183,31 +187,41 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Order is by descending doc_id, null ids last, equal ids by a hash of the
     text; after the last comes the first. Documents are dealt out by quantiles
-    of doc_id, so a part has an even share; the first document of each part is
-    sent to the part before it as well. Of the parts, one number each comes to
-    the driver.
+    of doc_id, so a part has an even share; an id (null too) that several
+    quantiles have in common is dealt over their parts by its texts' hashes. The
+    first document of each part is sent to the part before it as well. Of the
+    parts, which are bounded, one row each comes to the driver.
     """
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = texts.withColumns({"key": F.coalesce("doc_id", F.lit(_NULL_ID)), "hash": F.xxhash64("text")})
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(total // TASK_BYTES) + 1
-    cuts = texts.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else None
-    splits = np.unique(np.array(cuts or [], np.int64))
-
-    def part_of(ids: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(splits, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False)), pa.int32())
-
-    part_of.__annotations__ = {"ids": pa.Array, "return": pa.Array}
-    dealt = texts.withColumn("part", arrow_udf(part_of, "int")("doc_id"))
-    # The greatest id of each part that has rows, the greatest first.
-    tops = sorted(((r.part, r.top) for r in dealt.groupBy("part").agg(F.max("doc_id").alias("top")).collect()), reverse=True)
-    moves = [(tops[i][0], tops[(i + 1) % len(tops)][1]) for i in range(len(tops))]
-    extra = spark.createDataFrame(moves, "part int, top long")
-    sent = texts.join(maybe_broadcast(extra, len(moves)), F.col("doc_id").eqNullSafe(F.col("top"))).select("part", F.lit(True).alias("extra"), "doc_id", "text")
+    parts = min(MOST_PARTS, int(total // TASK_BYTES) + 1)
+    cuts = keyed.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else None
+    splits = np.sort(np.array(cuts or [], np.int64))
+
+    def part_of(keys: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array(parts_of(splits, keys.to_numpy(zero_copy_only=False), hashes.to_numpy(zero_copy_only=False)), pa.int32())
+
+    part_of.__annotations__ = {"keys": pa.Array, "hashes": pa.Array, "return": pa.Array}
+    dealt = keyed.withColumn("part", arrow_udf(part_of, "int")("key", "hash"))
+    # The first document of each part that has rows; parts in the documents' order.
+    heads = sorted((r.part, *r.head) for r in dealt.groupBy("part").agg(F.min(F.struct(F.bitwise_not("key").alias("k"), "hash")).alias("head")).collect())[::-1]
+    moves = [(heads[i][0], ~heads[(i + 1) % len(heads)][1], heads[(i + 1) % len(heads)][2]) for i in range(len(heads))]
+    extra = spark.createDataFrame(moves, "part int, key long, hash long")
+    sent = keyed.join(maybe_broadcast(extra, len(moves)), ["key", "hash"]).select("part", F.lit(True).alias("extra"), "doc_id", "text")
     own = dealt.select("part", F.lit(False).alias("extra"), "doc_id", "text")
     order = ["part", "extra", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text"]
-    return own.union(sent).repartition(parts, "part").sortWithinPartitions(*order)
+    return own.union(sent).repartitionById(len(splits) + 1, "part").sortWithinPartitions(*order)
+
+
+def parts_of(splits: np.ndarray, keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Parts of documents, the last in order first; a key that stands for several splits is dealt over their parts, lesser hashes to later ones."""
+    low, high = np.searchsorted(splits, keys, "left"), np.searchsorted(splits, keys, "right")
+    share = (hashes.astype(np.float64) + 2.0**63) / 2.0**64
+    many = np.maximum(high - low, 1)
+    return low + many - 1 - np.minimum((share * many).astype(np.int64), many - 1)
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:

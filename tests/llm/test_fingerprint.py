@@ -4,6 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quirekit.llm import fingerprint
 from quirekit.llm.fingerprint import difference, fingerprinted
 
 
@@ -32,3 +33,24 @@ def test_edits_follow_the_contract_with_nulls_and_empty_texts(spark):
 
 def test_empty_table(spark):
     assert fingerprinted(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hot_ids_are_dealt_over_parts_in_order(spark, monkeypatch):
+    """Small parts; a third of the rows have one id, others none."""
+    monkeypatch.setattr(fingerprint, "TASK_BYTES", 400)
+    rows = [(i, f"text {i} " * 5) for i in range(60)] + [(20, f"hot {i} " * 5) for i in range(60)] + [(None, f"null {i} " * 5) for i in range(40)] + [(7, "same")] * 5 + [(61, None), (62, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = fingerprint.with_next(df).collect()
+    parts = {}
+    for r in found:
+        parts.setdefault(r.part, []).append(r)
+    assert len({r.part for r in found if r.doc_id == 20 and not r.extra}) > 3 and len({r.part for r in found if r.doc_id is None and not r.extra}) > 2
+    hashed = {t: h for t, h in df.selectExpr("text", "xxhash64(text) as h").distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]], r[1] or ""))
+    want = sorted(((a[0] or -1, (a[1] or "")), (b[0] or -1, (b[1] or ""))) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    got = []
+    for own in parts.values():
+        line = [r for r in own if not r.extra] + [r for r in own if r.extra][:1]
+        got += [((a.doc_id or -1, a.text or ""), (b.doc_id or -1, b.text or "")) for a, b in zip(line, line[1:], strict=False)]
+    assert sorted(got) == want
+    assert fingerprinted(df).count() == len(rows)
