@@ -219,3 +219,11 @@ def section_profiles(found: DataFrame) -> DataFrame:
         F.when(F.col("element") == "heading", F.col("level")).alias("level"), F.when((F.col("element") == "text") & F.col("tag").isin("li", "p"), number).alias("number"),
     )
     return section_profile(rows, ["page_id"], "at")
+
+
+def with_geometry(found: DataFrame, geometry: DataFrame) -> DataFrame:
+    """Elements with what a renderer measured (page_id, dom_path, box, shown, opacity, font_size, font_weight), by path; where it is known its visibility holds, and weights from 600 on are bold."""
+    g = geometry.select("page_id", "dom_path", "box", "shown", "opacity", "font_size", F.col("font_weight").cast("string").alias("font_weight"))
+    rows = found.join(g, ["page_id", "dom_path"], "left")
+    bold = F.col("font_weight").isin("bold", "bolder") | F.coalesce(F.col("font_weight").try_cast("int") >= 600, F.lit(False))
+    return rows.withColumns({"visible": F.coalesce("shown", "visible"), "bold": F.coalesce(bold, F.lit(False))}).drop("shown", "font_weight")
