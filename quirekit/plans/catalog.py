@@ -30,7 +30,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import counting, joins, pages, reconciliation, review, sequences, texts, workflow  # noqa: F401
+    from . import counting, joins, pages, reconciliation, review, ruling, sequences, texts, workflow  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
