@@ -123,14 +123,24 @@ _EDGE = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
 _EDGE_SQL = "kind byte, a long, b long"
 
 
-def _stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First positions of the distinct keys, and each key's other documents linked to its least one."""
+def _stars(keys: np.ndarray, docs: np.ndarray, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First positions of the distinct keys, and each key's other documents linked to its least one.
+
+    ``marks`` are keys too: the least key of the document that posted. Where a
+    document has the mark of its key's least one, both meet at that mark also,
+    so their link is left to it unless the key is the mark. Going to lesser keys
+    this ends, so all that share a key are joined, and near copies by one link
+    and not by one for each key.
+    """
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.empty(0, bool)
-    center = docs[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else docs
-    other = ~first & (docs != center)
-    pairs = np.unique(np.stack([docs[other], center[other]], 1), axis=0)
+    center = np.flatnonzero(first)[np.cumsum(first) - 1] if len(keys) else np.empty(0, np.int64)
+    other = ~first & (docs != docs[center])
+    if marks is not None and len(keys):
+        marks = marks[order]
+        other &= (marks != marks[center]) | (marks == keys)
+    pairs = np.unique(np.stack([docs[other], docs[center][other]], 1), axis=0)
     return order[first], pairs[:, 0], pairs[:, 1]
 
 
@@ -156,21 +166,28 @@ def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _posted(keys: np.ndarray, docs: np.ndarray, buckets: int) -> tuple[list[tuple[int, int, bytes, bytes]], np.ndarray, np.ndarray]:
     """Packed postings of a chunk, and its own edges.
 
-    What the chunk's own postings join is posted as one document, the least, so
-    that a passage which many of its texts share goes once to each bucket.
+    A document's postings stand together. What the chunk's own postings join is
+    posted as one document, the least, so that a passage which many of its texts
+    share goes once to each bucket; the mark of a posting is the least key of
+    the text that it comes from, which that document has posted as well.
     """
+    if len(keys):
+        runs = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
+        marks = np.repeat(np.minimum.reduceat(keys, runs), np.diff(np.append(runs, len(keys))))
+    else:
+        marks = keys
     first, u, v = _stars(keys, docs)
     u, v = contracted(u, v)
-    keys, docs = keys[first], docs[first]
+    keys, docs, marks = keys[first], docs[first], marks[first]
     if len(u):
         at = np.minimum(np.searchsorted(u, docs), len(u) - 1)
         docs = np.where(u[at] == docs, v[at], docs)
     to = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
-    keys, docs, to = keys[order], docs[order], to[order]
+    keys, docs, marks, to = keys[order], docs[order], marks[order], to[order]
     cut = np.flatnonzero(np.diff(to)) + 1
-    parts = zip(np.split(to, cut), np.split(keys, cut), np.split(docs, cut), strict=True)
-    return [(int(x[0]), -1, y.tobytes(), z.tobytes()) for x, y, z in parts if len(x)], u, v
+    parts = zip(np.split(to, cut), np.split(keys, cut), np.split(docs, cut), np.split(marks, cut), strict=True)
+    return [(int(x[0]), -1, y.tobytes(), z.tobytes() + m.tobytes()) for x, y, z, m in parts if len(x)], u, v
 
 
 def _map_postings(width: int, num: int, den: int, buckets: int):
@@ -228,7 +245,7 @@ def _map_postings(width: int, num: int, den: int, buckets: int):
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Gathers a bucket's postings, one of a key from each chunk, and passes the other rows on."""
-    keys, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    keys, docs, marks = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], schema=_EDGE)
@@ -236,10 +253,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for kind, left, right in text_rows(batches, "kind", "left", "right"):
         if kind == -1:
             keys.append(np.frombuffer(left, np.uint64))
-            docs.append(np.frombuffer(right, np.int64))
+            docs.append(np.frombuffer(right, np.int64, len(right) // 16))
+            marks.append(np.frombuffer(right, np.uint64, len(right) // 16, len(right) // 2))
         else:
             yield rows(kind, np.frombuffer(left, np.int64), np.frombuffer(right, np.int64))
-    _, u, v = _stars(np.concatenate(keys), np.concatenate(docs))
+    _, u, v = _stars(np.concatenate(keys), np.concatenate(docs), np.concatenate(marks))
     yield rows(_CANDIDATE, *contracted(u, v))  # one edge of each document at most
 
 
