@@ -29,20 +29,24 @@ FROM lines l LEFT JOIN auth a ON l.norm = a.norm WHERE l.norm <> '' GROUP BY sou
 def reconciliation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: how many text blocks the authoritative side confirms.
 
-    The authoritative blocks form the small, de-duplicated side of an equi-join
-    on normalized text; Spark picks broadcast or shuffle from its size.
+    Blocks are compared by strong digests of their normalised text, and counted
+    by source and digest before the join, so that a common block is one row per
+    task and no text is shuffled; Spark picks broadcast or shuffle by the size
+    of the authoritative side.
     """
     from ..functions.text import normalize_sql
 
-    lines = table(spark, sf_dir, "documents").select("source", F.explode(F.split("text", "\n")).alias("line")).select("source", normalize_sql(F.col("line")).alias("norm")).where("norm <> ''")
-    auth = (
-        table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("line")).select(normalize_sql(F.col("line")).alias("norm")).where("norm <> ''").distinct()
-        .select("norm", F.col("norm").alias("auth"))
-    )
+    def blocks(df: DataFrame, *keys: str) -> DataFrame:
+        lines = df.select(*keys, F.explode(F.split("text", "\n")).alias("line")).select(*keys, normalize_sql(F.col("line")).alias("norm")).where("norm <> ''")
+        return lines.select(*keys, F.unhex(F.sha2("norm", 256)).alias("digest"))
+
+    counted = blocks(table(spark, sf_dir, "documents"), "source").groupBy("source", "digest").agg(F.count("*").alias("n"))
+    auth = blocks(table(spark, sf_dir, "benchmark")).distinct().select("digest", F.lit(True).alias("found"))
+    matched = F.coalesce(F.sum(F.when(F.col("found"), F.col("n"))), F.lit(0))
     return (
-        lines.join(auth, "norm", "left")
+        counted.join(auth, "digest", "left")
         .groupBy("source")
-        .agg(F.count("*").alias("n_blocks"), F.count("auth").alias("n_matched"), F.countDistinct("auth").alias("n_auth_found"))
+        .agg(F.sum("n").alias("n_blocks"), matched.alias("n_matched"), F.count("found").alias("n_auth_found"))
         .select("source", "n_blocks", "n_matched", (F.col("n_blocks") - F.col("n_matched")).alias("n_extra"), "n_auth_found",
                 F.round(F.col("n_matched") / F.col("n_blocks"), 4).alias("matched_share"))
     )
