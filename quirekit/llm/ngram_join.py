@@ -31,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,6 +164,15 @@ def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root[other]]
 
 
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Numbers of 64 bits, compressed with their first bytes together, then their second ones and so on."""
+    return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unsqueeze(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
 def _posted(keys: np.ndarray, docs: np.ndarray, buckets: int) -> tuple[list[tuple[int, int, bytes, bytes]], np.ndarray, np.ndarray]:
     """Packed postings of a chunk, and its own edges.
 
@@ -187,7 +197,8 @@ def _posted(keys: np.ndarray, docs: np.ndarray, buckets: int) -> tuple[list[tupl
     keys, docs, marks, to = keys[order], docs[order], marks[order], to[order]
     cut = np.flatnonzero(np.diff(to)) + 1
     parts = zip(np.split(to, cut), np.split(keys, cut), np.split(docs, cut), np.split(marks, cut), strict=True)
-    return [(int(x[0]), -1, y.tobytes(), z.tobytes() + m.tobytes()) for x, y, z, m in parts if len(x)], u, v
+    # A bucket's keys are in order, so their differences have fewer bits; documents of a chunk are of few.
+    return [(int(x[0]), -1, squeeze(np.diff(y, prepend=np.uint64(0))), squeeze(np.concatenate([z.view(np.uint64), m]))) for x, y, z, m in parts if len(x)], u, v
 
 
 def _map_postings(width: int, num: int, den: int, buckets: int):
@@ -252,9 +263,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for kind, left, right in text_rows(batches, "kind", "left", "right"):
         if kind == -1:
-            keys.append(np.frombuffer(left, np.uint64))
-            docs.append(np.frombuffer(right, np.int64, len(right) // 16))
-            marks.append(np.frombuffer(right, np.uint64, len(right) // 16, len(right) // 2))
+            keys.append(np.cumsum(unsqueeze(left), dtype=np.uint64))
+            both = unsqueeze(right)
+            docs.append(both[: len(both) // 2].view(np.int64))
+            marks.append(both[len(both) // 2 :])
         else:
             yield rows(kind, np.frombuffer(left, np.int64), np.frombuffer(right, np.int64))
     _, u, v = _stars(np.concatenate(keys), np.concatenate(docs), np.concatenate(marks))
