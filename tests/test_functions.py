@@ -121,3 +121,15 @@ def test_misc(spark):
     assert one(spark, *(misc.image_start_number(F.lit(x)) for x in ("7", "0", "x", None)), misc.window_json(F.lit('window.a = {"k": 1};'))) == (7, 1, 1, 1, '{"k": 1}')
     m = misc.overlay(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3")))
     assert one(spark, m, misc.filled_ratio(F.array(F.array(F.lit("a"), F.lit(" ")))), misc.suffix(F.lit("http://x/a.PNG?v=1")), misc.same_src(F.lit("a/b.png"), F.lit("http://c/b.png?x"))) == ({"a": "1", "b": "3"}, 0.5, ".png", True)
+
+
+def test_shown_sizes_round_as_printf_does(spark):
+    r = random.Random(3)
+    sizes = [k / 20 * 1024**i for i in (1, 2, 3) for k in range(21, 400, 2)] + [858214.4, 0.5, 1.5, 2.5, 1023.5] + [r.uniform(1024, 1e13) for _ in range(500)]
+    got = spark.createDataFrame([(x,) for x in sizes], "x double").select("x", text.format_bytes(F.col("x")).alias("shown")).collect()
+
+    def shown(x):
+        i = sum(x >= 1024**k for k in (1, 2, 3))
+        return f"{x / 1024**i:.{min(i, 1)}f} {('B', 'KB', 'MB', 'GB')[i]}"
+
+    assert [(x.x, x.shown) for x in got] == [(x, shown(x)) for x in sizes]
