@@ -68,9 +68,9 @@ def kind_of(tag: str) -> str:
     return {"li": "list_item", "figcaption": "caption", "caption": "caption", "td": "table", "th": "table"}.get(tag, "paragraph")
 
 
-def element_rows(page: int | None, markup: str | None, base: str | None) -> Iterator[dict]:
+def element_rows(page: int | None, markup: str | None, base: str | None, closed: bool = False) -> Iterator[dict]:
     """Rows of one page: text, heading, image, table, link, list item, meta, data and document; ``ord`` counts each kind from 0."""
-    root = dom.parse(markup)
+    root = dom.parse(markup, closed)
     at = dom.paths(root)
     counts: dict[str, int] = {}
 
@@ -129,18 +129,18 @@ def _is_json(raw: str) -> bool:
     return True
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], closed: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for start in range(0, b.num_rows, BATCH_PAGES):
             part = b.slice(start, BATCH_PAGES)
-            rows = [r for p, m, u in zip(*(part.column(c).to_pylist() for c in ("page_id", "html", "url")), strict=True) for r in element_rows(p, m, u)]
+            rows = [r for p, m, u in zip(*(part.column(c).to_pylist() for c in ("page_id", "html", "url")), strict=True) for r in element_rows(p, m, u, closed)]
             yield pa.RecordBatch.from_pylist([{**r, "attrs": list((r.get("attrs") or {}).items())} for r in rows], schema=_ROW)
 
 
-def elements(pages: DataFrame) -> DataFrame:
-    """One row per element of ``pages`` (page_id, url, html); a page always has a ``document`` row. Null html counts as empty, a null url leaves sources as they are."""
+def elements(pages: DataFrame, closed: bool = False) -> DataFrame:
+    """One row per element of ``pages`` (page_id, url, html); a page always has a ``document`` row. Null html counts as empty, a null url leaves sources as they are. ``closed`` is that of ``dom.parse``."""
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_extract, _ROW_SQL)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(lambda batches: _extract(batches, closed), _ROW_SQL)
 
 
 def of_kind(found: DataFrame, element: str, *columns: str) -> DataFrame:
