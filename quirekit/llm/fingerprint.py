@@ -76,17 +76,22 @@ class Sketch:
         """A row for each part, with the cell of every key."""
         part = cells // 3
         h = mix64(keys ^ np.uint64((seed + 1) * 0xA0761D6478BD642F & (2**64 - 1)))
-        a, b = h & _LOW, h >> _HALF
-        at = np.stack([a, b, (a + b * _SALT) & _LOW])
+        at = np.empty((3, len(keys)), np.uint64)
+        np.bitwise_and(h, _LOW, out=at[0])
+        np.right_shift(h, _HALF, out=at[1])
+        np.bitwise_and(at[0] + at[1] * _SALT, _LOW, out=at[2])
         at *= np.uint64(part)
-        return (at >> _HALF).astype(np.int64) + np.array([[0], [part], [2 * part]])
+        at >>= _HALF
+        at[1] += np.uint64(part)
+        at[2] += np.uint64(2 * part)
+        return at.view(np.int64)
 
     @classmethod
     def of(cls, keys: np.ndarray, cells: int = CELLS, seed: int = 0) -> Sketch:
-        at, keys = cls.places(keys, cells, seed).ravel(), np.tile(keys, 3)
+        at, marks = cls.places(keys, cells, seed).ravel(), mix64(keys ^ _CHECK)
         sums, checks = np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
-        np.add.at(sums, at, keys)
-        np.add.at(checks, at, mix64(keys ^ _CHECK))
+        np.add.at(sums, at, np.concatenate((keys, keys, keys)))
+        np.add.at(checks, at, np.concatenate((marks, marks, marks)))
         return cls(np.bincount(at, minlength=cells), sums, checks, seed)
 
     def __sub__(self, other: Sketch) -> Sketch:
@@ -114,10 +119,11 @@ class Sketch:
             sign, mark = sign[pure][at], mark[pure][at]
             plus.append(keys[sign == 1])
             minus.append(keys[sign == -1])
-            places, keys, sign, mark = self.places(keys, len(counts), self.seed).ravel(), np.tile(keys, 3), np.tile(sign, 3), np.tile(mark, 3)
-            np.subtract.at(counts, places, sign)
-            np.subtract.at(sums, places, np.where(sign == 1, keys, -keys))
-            np.subtract.at(checks, places, np.where(sign == 1, mark, -mark))
+            places = self.places(keys, len(counts), self.seed).ravel()
+            keys, mark = np.where(sign == 1, keys, -keys), np.where(sign == 1, mark, -mark)
+            np.subtract.at(counts, places, np.concatenate((sign, sign, sign)))
+            np.subtract.at(sums, places, np.concatenate((keys, keys, keys)))
+            np.subtract.at(checks, places, np.concatenate((mark, mark, mark)))
         return None
 
 
@@ -130,7 +136,7 @@ def difference(a: np.ndarray, b: np.ndarray, base: Sketch | None = None, tries:
     """
     # More differences than cells can't peel.
     found = (base or Sketch.of(a) - Sketch.of(b)).peel() if abs(len(a) - len(b)) <= CELLS else None
-    cells = 3 * (8 + (len(a) + len(b)) * 16 // 30)
+    cells = 3 * (8 + (len(a) + len(b)) * 24 // 30)
     for seed in range(1, tries + 1):
         if found is not None:
             return found
